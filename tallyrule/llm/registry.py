@@ -1,11 +1,14 @@
 """The corpus operators' queries by name, and DuckDB SQL for those that SQL can express."""
 
-from tallyrule.llm import bpe, exact_dedup, sharding
+from tallyrule.llm import bpe, exact_dedup, language_id, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_language_id": language_id.op4_language_id,
     "op5_sharding": sharding.op5_sharding,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
