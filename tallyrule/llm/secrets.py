@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tallyrule.llm.common import materialize
 
 # The base patterns. Group 1 is what stands before, group 2 the match, group 3 (where there is one) the value.
+# \G ties each search to the end of the last match; without it the rest after the last match would be searched from every place.
 KEYWORDS = r"(?i)(?:password|passwd|secret|token|api_?key)"
-ASSIGN = rf"(?s)(.*?)({KEYWORDS}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))"
-ACCESS = r"(?s)(.*?)(AKIA[A-Z0-9]+)"
-HEX = r"(?s)(.*?)([0-9a-f]{24,})"
+ASSIGN = rf"\G(?s)(.*?)({KEYWORDS}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))"
+ACCESS = r"\G(?s)(.*?)(AKIA[A-Z0-9]+)"
+HEX = r"\G(?s)(.*?)([0-9a-f]{24,})"
 #: Tokens for the test battery: at least 20 characters of a base-64 alphabet, nothing of it before them.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
@@ -93,7 +94,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
         "assign": F.when(F.col("_t").rlike(KEYWORDS), _spans("_t", ASSIGN, 3, 6)).otherwise(none),
         "access": F.when(F.contains("_t", F.lit("AKIA")), _spans("_t", ACCESS, 0, 20)).otherwise(none),
         "hex": F.when(F.col("_t").rlike("[0-9a-f]{24}"), _spans("_t", HEX, 0, 24)).otherwise(none),
-        "tokens": F.when(F.col("_t").rlike(TOKEN), _spans("_t", f"(?s)(.*?)({TOKEN})", 0, 20)).otherwise(none),
+        "tokens": F.when(F.col("_t").rlike(TOKEN), _spans("_t", rf"\G(?s)(.*?)({TOKEN})", 0, 20)).otherwise(none),
     }
     empty = F.array().cast(_SPANS)
     bare = lambda c: F.coalesce(F.transform(F.col(c), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), empty)
