@@ -1,12 +1,13 @@
 """The corpus operators' queries by name, and DuckDB SQL for those that SQL can express."""
 
-from tallyrule.llm import bpe, exact_dedup, language_id, secrets, sharding, toxicity
+from tallyrule.llm import bpe, exact_dedup, language_id, near_dedup, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_language_id": language_id.op4_language_id,
     "op5_sharding": sharding.op5_sharding,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_toxicity": toxicity.op9_toxicity,
 }
