@@ -22,21 +22,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, 64-bit hash) of every shingle of width words, A-Z lower-cased; a shorter text is one shingle of all its words.
+def word_hashes(texts: list[str | None], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, 64-bit hash) of every word, A-Z lower-cased; words are runs of bytes that are not in `space`.
 
-    Texts are taken together, as one buffer with a space after each; words are runs of other than ASCII white space.
+    Texts are taken together, as one buffer with a space after each.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join([*raw, b""]), np.uint8)] if raw else np.zeros(0, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    space = _SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
+    data = _LOWER[np.frombuffer(b" ".join([*raw, b""]), np.uint8)]
+    edge = np.diff(space[data].astype(np.int8), prepend=1, append=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = prefix_hash(data)
-    words = mix((total[ends] - total[starts]) * powers(INV, int(starts[-1]) + 1)[starts] if len(starts) else np.zeros(0, np.uint64))
-    doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
+    words = mix((total[ends] - total[starts]) * powers(INV, int(starts[-1]) + 1)[starts])
+    return np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right"), words
+
+
+def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, 64-bit hash) of every shingle of width words; a shorter text is one shingle of all its words."""
+    doc, words = word_hashes(texts)
     n = np.bincount(doc, minlength=len(texts))
     out = words.copy()
     with np.errstate(over="ignore"):

@@ -1,6 +1,6 @@
 """The corpus operators' queries by name, and DuckDB SQL for those that SQL can express."""
 
-from tallyrule.llm import bpe, exact_dedup, language_id, near_dedup, secrets, sharding, toxicity
+from tallyrule.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
