@@ -1,6 +1,6 @@
 """The corpus operators' queries by name, and DuckDB SQL for those that SQL can express."""
 
-from tallyrule.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, secrets, sharding, toxicity
+from tallyrule.llm import bpe, decontamination, exact_dedup, html_extract, language_id, near_dedup, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
