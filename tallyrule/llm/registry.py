@@ -1,8 +1,9 @@
 """The corpus operators' queries by name, and DuckDB SQL for those that SQL can express."""
 
-from tallyrule.llm import bpe, decontamination, exact_dedup, html_extract, language_id, near_dedup, secrets, sharding, toxicity
+from tallyrule.llm import bpe, decontamination, exact_dedup, html_extract, language_id, near_dedup, secrets, sharding, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_language_id": language_id.op4_language_id,
