@@ -98,6 +98,45 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: in
     return Profiles(langs, protos.astype(np.float32), dim, seed)
 
 
+class Identifier:
+    """Compares texts with the prototypes; n-gram vectors are made when first met and kept up to a bound."""
+
+    def __init__(self, profiles: Profiles, sharpness: float) -> None:
+        self.profiles, self.sharpness, self.grams = profiles, sharpness, Grams()
+        self.place, self.made = np.full(CLASSES**NGRAM, -1, np.int32), 0
+        self.vectors, self.dots = np.empty((1024, profiles.dim), np.int8), np.empty((1024, max(1, len(profiles.langs))), np.float32)
+
+    def learn_codes(self, codes: np.ndarray, most: int = 40_000) -> None:
+        new = codes[self.place[codes] < 0]
+        if not len(new):
+            return
+        if self.made + len(new) > most:
+            self.place[:] = -1
+            self.made, new = 0, codes
+        while self.made + len(new) > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            self.dots = np.concatenate([self.dots, np.empty_like(self.dots)])
+        at = slice(self.made, self.made + len(new))
+        self.place[new] = np.arange(at.start, at.stop)
+        self.vectors[at] = ngram_vectors(new, self.profiles.dim, self.profiles.seed)
+        self.dots[at] = self.vectors[at].astype(np.float32) @ self.profiles.prototypes.T
+        self.made = at.stop
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        found = self.grams(text) if self.profiles.langs else None
+        if found is None:
+            return "und", 0.0
+        codes, n = found
+        self.learn_codes(codes)
+        at, n = self.place[codes], n.astype(np.float32)
+        bundle = np.zeros(self.profiles.dim, np.float32)
+        for k in range(0, len(at), 2048):
+            bundle += n[k : k + 2048] @ self.vectors[at[k : k + 2048]].astype(np.float32)
+        cosine = (n @ self.dots[at]) / max(float(np.linalg.norm(bundle)), 1e-9)
+        best = int(np.argmax(cosine))
+        return self.profiles.langs[best], float(1 / np.exp(self.sharpness * (cosine - cosine[best])).sum())
+
+
 def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 20.0) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text: the prototype with the largest cosine.
 
@@ -105,46 +144,28 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     language. Ties go to the first language in order. One narrow pass; only id and text are read.
     """
     kind = dict(df.dtypes)[id_col]
-    langs, protos, dim, seed = profiles.langs, profiles.prototypes, profiles.dim, profiles.seed
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        place, made = np.full(CLASSES**NGRAM, -1, np.int32), 0
-        vectors, dots = np.empty((1024, dim), np.int8), np.empty((1024, max(1, len(langs))), np.float32)
+        identify = Identifier(profiles, sharpness)
         for b in batches:
-            preds, scores = [], []
-            for text in b.column("_text"):
-                found = grams(text.as_py()) if langs else None
-                if found is None:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                codes, n = found
-                new = codes[place[codes] < 0]
-                if len(new):
-                    if made + len(new) > 40_000:  # the cache is bounded; vectors are made again when met again
-                        place[:] = -1
-                        made, new = 0, codes
-                    while made + len(new) > len(vectors):
-                        vectors = np.concatenate([vectors, np.empty_like(vectors)])
-                        dots = np.concatenate([dots, np.empty_like(dots)])
-                    place[new] = np.arange(made, made + len(new))
-                    vectors[made : made + len(new)] = ngram_vectors(new, dim, seed)
-                    dots[made : made + len(new)] = vectors[made : made + len(new)].astype(np.float32) @ protos.T
-                    made += len(new)
-                at, n = place[codes], n.astype(np.float32)
-                bundle = np.zeros(dim, np.float32)
-                for k in range(0, len(at), 2048):
-                    bundle += n[k : k + 2048] @ vectors[at[k : k + 2048]].astype(np.float32)
-                cosine = (n @ dots[at]) / max(float(np.linalg.norm(bundle)), 1e-9)
-                best = int(np.argmax(cosine))
-                preds.append(langs[best])
-                scores.append(float(1 / np.exp(sharpness * (cosine - cosine[best])).sum()))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = [identify(text.as_py()) for text in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(df: DataFrame, profiles: Profiles, text_col: str = "text", sharpness: float = 20.0, least_score: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose text is given a language with a score over least_score; decided in place."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        identify = Identifier(profiles, sharpness)
+        for b in batches:
+            found = [identify(text.as_py()) for text in b.column(text_col)]
+            yield b.filter(pa.array([lang != "und" and score > least_score for lang, score in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that teach nothing: crc32 of the id's text mod 4 is 2 (a null id is not held out)."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))

@@ -255,6 +255,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows, with all their columns, that stay: one id of each component, and every text without words. Rows that share an id go together."""
+    kept = near_duplicates(df, id_col, text_col, width, similarity).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    names = [f"`{c}`" for c in df.columns]
+    return df.withColumn("_row_id", F.col(id_col)).join(kept, F.col("_row_id").eqNullSafe(F.col("_kept")), "left_semi").select(*names)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over two-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
