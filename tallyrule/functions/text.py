@@ -50,7 +50,7 @@ def format_value(feature: str, x: Column) -> Column:
     if feature not in PLACES:
         return F.lit("")
     ok = F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
-    return F.when(ok, F.format_string(f"%.{PLACES[feature]}f", x.cast("decimal(38,12)"))).otherwise("")
+    return F.when(ok, F.format_string(f"%.{PLACES[feature]}f", x.cast("double"))).otherwise("")
 
 
 def json_number(x: Column) -> Column:
