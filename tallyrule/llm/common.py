@@ -11,6 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have: the given ones, with underscores added as needed."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+
 #: An odd multiplier for polynomial byte hashes, and its inverse mod 2**64.
 MULT = 0x9E3779B97F4A7C55 | 1
 INV = pow(MULT, -1, 1 << 64)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrule.llm.common import fresh
+
 SPACES = r"[\x20\x09-\x0D]+"
 FANOUT_BITS = 4
 #: One entry: 64-bit hash, digest, content, smallest id (or None), rows.
@@ -175,9 +177,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Ids are matched null-safe together with the text's digest, so rows that share an id but not a text are judged apart.
     """
-    marked = annotate(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    row_id, row_sha, kept_id, kept_sha = fresh(df, "_row_id", "_row_sha", "_kept_id", "_kept_sha")
+    marked = annotate(df, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
     digest = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
-    return df.withColumns({"_row_id": F.col(id_col), "_row_sha": digest}).join(marked, F.col("_row_sha").eqNullSafe(F.col("_sha")) & F.col("_row_id").eqNullSafe(F.col("_id")), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    named = df.withColumns({row_id: F.col(id_col), row_sha: digest})
+    return named.join(marked, (F.col(row_sha) == F.col(kept_sha)) & F.col(row_id).eqNullSafe(F.col(kept_id)), "left_semi").drop(row_id, row_sha)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import INV, MULT, chunks, components, materialize, mix, powers, prefix_hash
+from tallyrule.llm.common import INV, MULT, chunks, components, fresh, materialize, mix, powers, prefix_hash
 
 TREES = 32
 #: Signature values a tree sorts by; neighbours in its order are candidates from FLOOR equal leading values on.
@@ -257,9 +257,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows, with all their columns, that stay: one id of each component, and every text without words. Rows that share an id go together."""
-    kept = near_duplicates(df, id_col, text_col, width, similarity).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    names = [f"`{c}`" for c in df.columns]
-    return df.withColumn("_row_id", F.col(id_col)).join(kept, F.col("_row_id").eqNullSafe(F.col("_kept")), "left_semi").select(*names)
+    row_id, kept_id = fresh(df, "_row_id", "_kept_id")
+    kept = near_duplicates(df, id_col, text_col, width, similarity).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return df.withColumn(row_id, F.col(id_col)).join(kept, F.col(row_id).eqNullSafe(F.col(kept_id)), "left_semi").drop(row_id)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
