@@ -1,18 +1,20 @@
 """Search for scorecards: the driver breeds genomes, Spark scores whole generations at once.
 
 Data enter the search once, as counts of distinct (bin codes, y, part) vectors: bin k of a feature is the number of training quantiles
-below the value, and a rule at quantile q fires exactly if bin > q. A generation is one job: candidates go out as an array column,
-each count row is scored for all of them, and (candidate, score, y) histograms come back.
+below the value, and a rule at quantile q fires exactly if bin > q. If the counts are few (their number is checked), they are fetched
+once and generations are scored on the driver. Else a generation is one job: candidates go out as an array column, each
+count row is scored for all of them, and (candidate, score, y) histograms come back.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrule.functions.numeric import Stream, seed_number
+from tallyrule.functions.numeric import Stream, round_up, round_up_py, seed_number
 from tallyrule.functions.text import digest
 from tallyrule.operators import metrics
 from tallyrule.operators.profile import fingerprints
@@ -34,7 +36,7 @@ QUICK, WORKER, VIEW = Effort(24, 4, 16), Effort(20, 4, 14), Effort(16, 3, 12)
 class Arena:
     """Fitness of genomes on parts of a domain ('fit' rows set the quantiles, 'val' rows judge); answers are remembered."""
 
-    def __init__(self, df: DataFrame, features: list[str], part: Column, fitting: str = "fit") -> None:
+    def __init__(self, df: DataFrame, features: list[str], part: Column, fitting: str = "fit", most_local: int = 200_000) -> None:
         self.features = features[:MAX_FEATURES]
         rows = df.withColumn("_part", part)
         self.cuts = cuts(rows.where(F.col("_part") == fitting), self.features)
@@ -42,6 +44,10 @@ class Arena:
         binned = rows.select("_part", F.col("y").cast("int").alias("y"), *[code(f).alias(f) for f in self.features])
         self.counts = binned.groupBy("_part", "y", *self.features).agg(F.count("*").alias("n")).cache()
         self.known: dict[tuple[str, str], float] = {}
+        self.local = None
+        if self.counts.limit(most_local + 1).count() <= most_local:
+            table = self.counts.toPandas()
+            self.local = {p: (t[self.features].to_numpy(), t["y"].to_numpy(), t["n"].to_numpy(float)) for p, t in table.groupby("_part")}
 
     def close(self) -> None:
         self.counts.unpersist()
@@ -59,11 +65,30 @@ class Arena:
         rows = self.counts.where(F.col("_part") == part).select("y", "n", F.explode(F.array(*entries)).alias("c"))
         return rows.groupBy("c.candidate", "c.score").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
 
+    def _auc_here(self, genome: Genome, part: str) -> float:
+        """AUC of a genome over the fetched counts."""
+        if part not in self.local:
+            return 0.5
+        codes, y, n = self.local[part]
+        total = np.zeros(len(y))
+        for x in genome:
+            if x.on:
+                over = codes[:, x.f % len(self.features)] > min(x.q, 14)
+                total += WEIGHTS[x.w] * (over if x.d else ~over)
+        _, at = np.unique(total, return_inverse=True)
+        pos, neg = np.bincount(at, n * (y == 1)), np.bincount(at, n * (y == 0))
+        if not pos.sum() or not neg.sum():
+            return 0.5
+        won = (pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum())
+        return round_up_py(float(won))
+
     def fitness(self, genomes: list[Genome], part: str = "val") -> list[float]:
         """AUC of each genome on a part; those not met before are scored together."""
         names = [encode(g) for g in genomes]
         new = {n: g for n, g in zip(names, genomes, strict=True) if (part, n) not in self.known}
-        if new:
+        if new and self.local is not None:
+            self.known |= {(part, n): self._auc_here(g, part) for n, g in new.items()}
+        elif new:
             found = {r["candidate"]: r["auc"] for r in metrics.auc(self._histograms(list(new.values()), part), ["candidate"]).collect()}
             for i, n in enumerate(new):
                 self.known[part, n] = found.get(i, 0.5)
@@ -277,8 +302,6 @@ def grow_ensemble(df: DataFrame, domain: str, features: list[str], workers: int
 
 def resolve(cards: list[tuple], mean_std: dict[int, tuple[float, float]]) -> Column:
     """The ensemble score: each worker's standardised score times max(0, AUC - 0.5) squared. cards: (rules, held AUC)."""
-    from tallyrule.functions.numeric import round_up
-
     total = F.lit(0.0)
     for i, (rules, held_auc) in enumerate(cards):
         mean, std = mean_std[i]
