@@ -76,15 +76,21 @@ def _pieces(raw: list[bytes], data: np.ndarray, ends: np.ndarray, length: int, m
             yield np.full(len(first), k), first + base + at, last + base + at, place + base + at, h
 
 
+def place(at: int) -> tuple[int, int, int]:
+    """(first window, windows after it, anchor's distance from it) as packed in one number."""
+    return at >> 16, at >> 8 & 255, at & 255
+
+
 def _anchor_rows(length: int):
     def run(batches):
         for (uid,), raw, data, ends in _buffers(batches, ("_uid",), 1 << 20):
             whole = data.tobytes()
             uids = np.array(uid.to_pylist(), dtype=object)
-            for doc, first, last, place, h in _pieces(raw, data, ends, length):
+            for doc, first, last, spot, h in _pieces(raw, data, ends, length):
                 base = ends[doc] - np.array([len(r) for r in raw], np.int64)[doc] if len(doc) else doc
-                around = [hashlib.blake2b(whole[a : b + length], digest_size=15).digest() + bytes((p - a,)) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(uids[doc].tolist(), pa.binary()), pa.array((first - base).astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16)), pa.array(h.view(np.int64)), pa.array(around, pa.binary())], ["uid", "a", "w", "o", "seed", "around"])
+                around = np.frombuffer(b"".join([hashlib.blake2b(whole[a : b + length] + bytes((p - a,)), digest_size=16).digest() for a, b, p in zip(first.tolist(), last.tolist(), spot.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                where = (first - base) << 16 | (last - first) << 8 | (spot - first)
+                yield pa.RecordBatch.from_arrays([pa.array(uids[doc].tolist(), pa.binary()), pa.array(where), pa.array(h.view(np.int64)), pa.array(around[:, 0]), pa.array(around[:, 1])], ["uid", "at", "seed", "c1", "c2"])
 
     return run
 
@@ -173,11 +179,11 @@ def _compare_rows(length: int, most: int = 4096):
 
         def flush(rows):
             ids = np.unique(np.array([r[0] for r in rows], dtype=object).astype("S"), return_inverse=True)[1] if rows else np.zeros(0)
-            bits = compare(np.asarray(ids, np.uint64), [r[3][: r[4]][::-1] for r in rows], [r[3][r[4] :] for r in rows], np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), np.array([r[7] for r in rows], bool), length)
-            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array(bits, pa.binary())], ["seed", "around", "bits"])
+            bits = compare(np.asarray(ids, np.uint64), [r[4][: r[5]][::-1] for r in rows], [r[4][r[5] :] for r in rows], np.array([r[6] for r in rows]), np.array([r[7] for r in rows]), np.array([r[8] for r in rows], bool), length)
+            return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array(bits, pa.binary())], ["seed", "c1", "c2", "bits"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("lead", "seed", "around", "bytes", "o", "low", "high", "many")]
+            cols = [b.column(c).to_pylist() for c in ("lead", "seed", "c1", "c2", "bytes", "o", "low", "high", "many")]
             for row in zip(*cols, strict=True):
                 row = (row[0].hex(), *row[1:])
                 if len(held) >= most and row[0] != held[-1][0]:
@@ -199,10 +205,12 @@ def _fetch(length: int):
             out: list[tuple] = []
             for i, text in enumerate(b.column("_text")):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                out += [(w["seed"], w["around"], raw[w["a"] : w["a"] + w["w"] + length], w["o"], w["w"], w["many"]) for w in wants[i]]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["seed", "around", "bytes", "o", "w", "many"])
+                for x in wants[i]:
+                    a, w, o = place(x["at"])
+                    out.append((x["seed"], x["c1"], x["c2"], raw[a : a + w + length], o, w, x["many"]))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["seed", "c1", "c2", "bytes", "o", "w", "many"])
 
     return run
 
@@ -215,14 +223,15 @@ def _remove(length: int, texts: bool):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 mark = np.zeros(len(raw) + 1, np.int32)
                 for x in spans or ():
+                    a, w, far = place(x["at"])
                     if x["bits"] is None:
-                        mark[x["a"]] += 1
-                        mark[x["a"] + x["w"] + length] -= 1
+                        mark[a] += 1
+                        mark[a + w + length] -= 1
                         continue
                     on = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: length - SEED + 1].astype(bool)
                     for o in np.flatnonzero(on).tolist():
-                        mark[x["a"] + x["o"] - o] += 1
-                        mark[x["a"] + x["o"] - o + length] -= 1
+                        mark[a + far - o] += 1
+                        mark[a + far - o + length] -= 1
                 gone = np.cumsum(mark[:-1]) > 0
                 rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 n_bytes.append(len(raw))
@@ -244,7 +253,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replacement characters where a cut parts a character]. Null texts are empty. Rows are told apart by id and text together; fully
     repeated rows repeat each other, so their texts of at least `length` bytes are removed. Empty tables give an empty result.
 
-    1. Anchors of every text, with the hash of SEED bytes and a 120-bit hash of the surroundings (all windows of the anchor).
+    1. Anchors of every text, with the hash of SEED bytes and a 128-bit hash of the surroundings (all windows of the anchor).
     2. By SEED hash (partial aggregation): seeds that occur once are done. Where all surroundings of a seed are equal, all their
        windows repeat. Only anchors of other repeated seeds go on, one for each different surroundings.
     3. Their bytes are fetched, range-partitioned by leading tokens (sampled splitters between different values), sorted in each bucket
@@ -256,32 +265,32 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not SEED < length < 256:
         raise ValueError("length must be over SEED and under 256")
     kind = dict(df.dtypes)[id_col]
-    key = F.unhex(F.substring(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.length(F.coalesce(F.col(text_col), F.lit(""))), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))), 256), 1, 24))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_uid"))
-    found = materialize(rows.select("_uid", "_text").mapInArrow(_anchor_rows(length), "uid binary, a int, w smallint, o smallint, seed long, around binary"), "anchors")
+    key = F.unhex(F.substring(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.length(F.coalesce(F.col(text_col), F.lit(""))), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))), 256), 1, 24))  # 96 bits
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(key, F.lit(b"")).alias("_uid"))
+    found = materialize(rows.select("_uid", "_text").mapInArrow(_anchor_rows(length), "uid binary, at long, seed long, c1 long, c2 long"), "anchors")
 
-    seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
+    seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1")
     mixed = F.col("lo") != F.col("hi")
     hits = materialize(found.join(seeds.select("seed", mixed.alias("mixed")), "seed"), "hits")
-    one = hits.where("mixed").groupBy("seed", "around").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "w", "o")).alias("at"))
-    wants = one.select(F.col("at.uid").alias("uid"), F.struct("seed", "around", F.col("at.a").alias("a"), F.col("at.w").cast("int").alias("w"), F.col("at.o").cast("int").alias("o"), (F.col("n") > 1).alias("many")).alias("want"))
+    one = hits.where("mixed").groupBy("seed", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
+    wants = one.select(F.col("one.uid").alias("uid"), F.struct("seed", "c1", "c2", F.col("one.at").alias("at"), (F.col("n") > 1).alias("many")).alias("want"))
     wants = wants.groupBy("uid").agg(F.collect_list("want").alias("wants"))
-    texts_once = rows.select("_uid", "_text")
-    bytes_ = texts_once.join(wants, F.col("_uid") == F.col("uid")).select("_text", "wants").mapInArrow(_fetch(length), "seed long, around binary, bytes binary, o int, w int, many boolean")
+    # the same columns by the same key as in the last join below, so the texts are exchanged once for both
+    bytes_ = rows.join(wants, F.col("_uid") == F.col("uid")).select("_id", "_text", "wants").mapInArrow(_fetch(length), "seed long, c1 long, c2 long, bytes binary, o int, w int, many boolean")
     half = length // 2
     after = F.expr(f"substring(bytes, o + 1, {half})")
     before = F.reverse(F.hex(F.expr(f"substring(bytes, greatest(1, o - {half} + 1), least(o, {half}))")))
     low, high = F.col("o") - F.col("w"), F.col("o")
     near = F.struct(F.concat(F.lit(b"a"), after).alias("lead"), F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.lit(half)).alias("high"))
     far = F.struct(F.concat(F.lit(b"b"), F.encode(before, "UTF-8"), F.expr(f"substring(bytes, o + 1, {SEED})")).alias("lead"), F.greatest(low, F.lit(half + 1)).alias("low"), high.alias("high"))
-    both = bytes_.select("seed", "around", "bytes", "o", "many", F.explode(F.filter(F.array(near, far), lambda x: x["low"] <= x["high"])).alias("x")).select("seed", "around", "bytes", "o", "many", "x.*")
+    both = bytes_.select("seed", "c1", "c2", "bytes", "o", "many", F.explode(F.filter(F.array(near, far), lambda x: x["low"] <= x["high"])).alias("x")).select("seed", "c1", "c2", "bytes", "o", "many", "x.*")
     buckets = both.repartitionByRange("lead").sortWithinPartitions("lead")
-    bits = buckets.select("lead", "seed", "around", "bytes", "o", "low", "high", "many").mapInArrow(_compare_rows(length), "seed long, around binary, bits binary")
+    bits = buckets.select("lead", "seed", "c1", "c2", "bytes", "o", "low", "high", "many").mapInArrow(_compare_rows(length), "seed long, c1 long, c2 long, bits binary")
     bits = bits.where(F.expr("bits <> X'" + "00" * ((length - SEED + 8) // 8) + "'"))
 
-    settled = hits.where("NOT mixed").select("uid", "a", "w", "o", F.lit(None).cast("binary").alias("bits"))
-    compared = hits.where("mixed").join(bits, ["seed", "around"]).select("uid", "a", "w", "o", "bits")
-    spans = settled.union(compared).groupBy("uid").agg(F.collect_list(F.struct("a", "w", "o", "bits")).alias("spans"))
+    settled = hits.where("NOT mixed").select("uid", "at", F.lit(None).cast("binary").alias("bits"))
+    compared = hits.where("mixed").join(bits, ["seed", "c1", "c2"]).select("uid", "at", "bits")
+    spans = settled.union(compared).groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("spans"))
     final = rows.join(spans, F.col("_uid") == F.col("uid"), "left").select("_id", "_text", "spans")
     return final.mapInArrow(_remove(length, texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else ""))
 
