@@ -713,8 +713,10 @@ def builtin_cards(spark, sf_dir):
     """Cards of all eight generated domains, fitted and graded anew (S2-S4, G1, G5; held-out AUCs are pinned in the tests)."""
     rows = []
     for name, card in CARDS.items():
-        p = search.pattern(domains.load(spark, name), name, domains.DOMAINS[name].names, decode(card), 1)
+        df = domains.load(spark, name).cache()  # 2,400 generated rows, read by several small jobs
+        p = search.pattern(df, name, domains.DOMAINS[name].names, decode(card), 1)
         rows.append((name, card, p.threshold, p.held_auc, p.held_acc, p.held, p.verified))
+        df.unpersist()
     return spark.createDataFrame(rows, "domain string, genome string, threshold double, held_auc double, held_acc double, held long, verified boolean")
 
 

@@ -29,7 +29,7 @@ def test_stream(spark):
 
 @pytest.mark.parametrize("name", sorted(GRADES))
 def test_published_cards(spark, name):
-    p = search.pattern(domains.load(spark, name), name, domains.DOMAINS[name].names, scorecard.decode(CARDS[name]), 1)
+    p = search.pattern(domains.load(spark, name).cache(), name, domains.DOMAINS[name].names, scorecard.decode(CARDS[name]), 1)
     assert (p.held_auc, p.held_acc, p.held) == (*GRADES[name], 720)
     assert scorecard.encode(scorecard.decode(CARDS[name])) == CARDS[name]
 
@@ -37,7 +37,7 @@ def test_published_cards(spark, name):
 @pytest.mark.parametrize(("name", "card", "grade"), [("science", "3fdcc6ad5cce2dddd62d", 0.770598), ("philosophy", "3fdc3aaecd0d36d9b220", 0.850178)])
 def test_corpus_cards(spark, name, card, grade):
     d = tables.load_domain(spark, name)
-    assert search.pattern(d.df, name, list(d.features), scorecard.decode(card), 1).held_auc == grade
+    assert search.pattern(d.df.cache(), name, list(d.features), scorecard.decode(card), 1).held_auc == grade
 
 
 def test_stem():
@@ -154,7 +154,7 @@ def test_hypotheses():
 
 def test_search_is_deterministic_and_finds_signal(spark):
     df = spark.range(600).select(F.col("id").alias("row_id"), (F.pmod(F.xxhash64("id"), F.lit(10))).cast("double").alias("spend"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5))).cast("double").alias("noise"))
-    df = splitting.by_index(df.withColumn("y", (F.col("spend") >= 6).cast("int")), "row_id")
+    df = splitting.by_index(df.withColumn("y", (F.col("spend") >= 6).cast("int")), "row_id").cache()
     effort = search.Effort(30, 4, 12)
     a, b = (search.grow(df, "t", ["spend", "noise"], 7, effort) for _ in range(2))
     assert a.rules == b.rules and a.held_auc > 0.9
@@ -171,14 +171,14 @@ def test_noise_is_cut(spark):
 
 
 def test_forge_with_a_member_down(spark):
-    df = domains.load(spark, "fraud", 600)
+    df = domains.load(spark, "fraud", 600).cache()
     out = search.forge(df, "fraud", domains.DOMAINS["fraud"].names, {"one": '[{"feature":"amount","direction":"high"}]', "two": None}, effort=search.Effort(8, 2, 3))
     assert out["dropped"] == ["two"] and out["val_auc"] >= max(v for _, v in out["scoreboard"])
     assert "PATTERN BOOK" in out["book"]
 
 
 def test_evolution_never_falls(spark):
-    df = domains.load(spark, "fraud", 400)
+    df = domains.load(spark, "fraud", 400).cache()
     out = search.evolve(df, "fraud", domains.DOMAINS["fraud"].names[:3], generations=1, population=2, effort=search.Effort(4, 1, 2))
     assert out["curve"] == sorted(out["curve"]) and out["auc"] >= out["baseline"]
 

@@ -24,7 +24,7 @@ def test_csv_signal(spark, tmp_path):
     engine = Engine.from_csv_folder(spark, str(tmp_path), search.Effort(24, 4, 30))
     assert list(engine.library.patterns) == ["churn-data"] and engine.library.patterns["churn-data"].held_auc > 0.85
     assert "small" in engine.refused and engine.first_verified() == "churn-data"
-    got = engine.think(spark.createDataFrame([(7.0, 1.0, 0.0), (999999.0, 1.0, 0.0)], ["spend", "region=north", "region=south"])).collect() if "region=north" in engine.library.patterns["churn-data"].features else []
+    got = engine.think(spark.createDataFrame([(7.0, 1.0, 0.0), (999999.0, 99.0, 99.0)], ["spend", "region=north", "region=south"])).collect() if "region=north" in engine.library.patterns["churn-data"].features else []
     assert not got or got[1]["verdict"] == "ABSTAIN"
     assert engine.status().count() == 2
 
