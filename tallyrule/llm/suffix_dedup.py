@@ -270,8 +270,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(rows.select("_uid", "_text").mapInArrow(_anchor_rows(length), "uid binary, at long, seed long, c1 long, c2 long"), "anchors")
 
     seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1")
-    mixed = F.col("lo") != F.col("hi")
-    hits = materialize(found.join(seeds.select("seed", mixed.alias("mixed")), "seed"), "hits")
+    # a table of its own: both sides of the join are then plain exchanges, and a seed with very many anchors is split among tasks
+    seeds = materialize(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("mixed")), "seeds")
+    hits = materialize(found.join(seeds, "seed"), "hits")
     one = hits.where("mixed").groupBy("seed", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
     wants = one.select(F.col("one.uid").alias("uid"), F.struct("seed", "c1", "c2", F.col("one.at").alias("at"), (F.col("n") > 1).alias("many")).alias("want"))
     wants = wants.groupBy("uid").agg(F.collect_list("want").alias("wants"))
@@ -298,3 +299,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that 200-byte repeats cover."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, coalesce(max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= i, false) AS joined FROM r),
+t AS (SELECT doc_id, i, sum(CAST(NOT joined AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM t GROUP BY 1, 2),
+o AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT d.doc_id, coalesce(max(b), 0), max(n) FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY 1),
+k AS (SELECT o.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept, sum(y - x) AS left_over FROM o JOIN d ON o.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, (n - left_over)::BIGINT AS n_removed, (SELECT count(*) FROM s WHERE s.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON d.doc_id = k.doc_id
+"""
