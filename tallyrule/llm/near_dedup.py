@@ -265,3 +265,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over two-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(x) = 0 THEN []::VARCHAR[] WHEN len(x) = 1 THEN x ELSE list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s x ON a = x.doc_id JOIN s y ON b = y.doc_id WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON node = doc_id
+"""

@@ -15,5 +15,8 @@ QUERIES = {
     "op10_html_extract": html_extract.op10_html_extract,
 }
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_sharding": sharding.OP5_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
 }

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+#: Buckets of slot numbers: three hexadecimal digits of a hash.
+SLOT_BUCKETS = 16**3
+
+
 @dataclass(frozen=True)
 class Leaf:
     """One shard and its place: region name, rack name, shard number, weight."""
@@ -63,12 +67,12 @@ def shard_of(key: Column, leaves: tuple[Leaf, ...]) -> Column:
     return _choose(key, regions)
 
 
-def assign(df: DataFrame, leaves: tuple[Leaf, ...], id_col: str = "doc_id", text_col: str = "text", grown: tuple[Leaf, ...] | None = None, slot_buckets: int = 1024) -> DataFrame:
+def assign(df: DataFrame, leaves: tuple[Leaf, ...], id_col: str = "doc_id", text_col: str = "text", grown: tuple[Leaf, ...] | None = None) -> DataFrame:
     """Shards, and gapless slots from 0 within each shard, of every row.
 
     Law `key`: the id and the topology alone decide a row's shard. Slots number a shard's rows by (hash bucket of the id,
-    id, size, checksum): rows are numbered within slot_buckets buckets a shard, then offset by the counts of the buckets
-    before, so no task holds a shard. The offsets are at most slot_buckets * shards rows, which bounds the broadcast.
+    id, size, checksum): rows are numbered within SLOT_BUCKETS buckets a shard, then offset by the counts of the buckets
+    before, so no task holds a shard. The offsets are at most SLOT_BUCKETS * shards rows, which bounds the broadcast.
     Rows with equal ids share a shard; a null id counts as the text 'null'; a null text has size 1 and checksum 0; an
     empty table gives an empty result. Only id and text are read, so other columns cannot clash.
     """
@@ -76,7 +80,8 @@ def assign(df: DataFrame, leaves: tuple[Leaf, ...], id_col: str = "doc_id", text
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), leaves).cast("int"))
     rows = rows.withColumn("grown_shard", (shard_of(F.col("doc_id"), grown) if grown else F.lit(None)).cast("int"))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slot_buckets)).cast("int"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":slot"))
+    rows = rows.withColumn("_bucket", F.conv(F.substring(F.md5(name), 1, 3), 16, 10).cast("int"))
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -90,3 +95,32 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     eight = topology(8)
     return assign(docs, eight, grown=(*eight, Leaf("g2", "g2k4", 8)))
+
+
+def _choice_sql(options: dict[str, tuple[float, str]]) -> str:
+    """_choose() as SQL; draws are repeated by name, which the database computes once."""
+    items = sorted(options.items())
+    if len(items) == 1:
+        return items[0][1][1]
+    draw = lambda n, w: f"(-ln((('0x' || substr(md5(doc_id || ':{n}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / {w!r}::DOUBLE)"
+    least = "least(" + ", ".join(draw(n, w) for n, (w, _) in items) + ")"
+    return "CASE " + " ".join(f"WHEN {draw(n, w)} = {least} THEN {v}" for n, (w, v) in items) + " END"
+
+
+def shard_sql(leaves: tuple[Leaf, ...]) -> str:
+    tree: dict[str, dict[str, list[Leaf]]] = {}
+    for x in leaves:
+        tree.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
+    racks = {g: {k: (sum(x.weight for x in xs), _choice_sql({f"s{x.shard:06d}": (x.weight, str(x.shard)) for x in xs})) for k, xs in inner.items()} for g, inner in tree.items()}
+    return _choice_sql({g: (sum(w for w, _ in inner.values()), _choice_sql(inner)) for g, inner in racks.items()})
+
+
+OP5_SQL = f"""
+WITH steps AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256))::BIGINT AS i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM steps),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32 FROM b, crc),
+s AS (SELECT *, ({shard_sql(topology(8))})::INT AS shard, ({shard_sql((*topology(8), Leaf("g2", "g2k4", 8)))})::INT AS grown_shard, substr(md5(doc_id || ':slot'), 1, 3) AS bucket FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM s
+"""

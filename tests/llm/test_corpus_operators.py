@@ -191,7 +191,7 @@ def test_held_out_accuracy(spark, data):
 def test_shards(spark):
     docs = [(i, words(i % 7, i)) for i in range(2000)] + EDGE
     eight = sharding.topology(8)
-    rows = sharding.assign(frame(spark, docs), eight, grown=(*eight, sharding.Leaf("g2", "g2k4", 8)), slot_buckets=16).collect()
+    rows = sharding.assign(frame(spark, docs), eight, grown=(*eight, sharding.Leaf("g2", "g2k4", 8))).collect()
     assert len(rows) == len(docs)
     for s in range(8):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
