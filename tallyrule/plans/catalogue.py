@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrule.functions import numeric as N
 from tallyrule.functions import text as T
-from tallyrule.operators import costs, metrics, profile, routing, search, splitting, textgraph
+from tallyrule.operators import costs, metrics, profile, routing, sealed, search, splitting, textgraph
 from tallyrule.operators.scorecard import Rule, decode, score, score_map
 from tallyrule.sources import domains, tables
 from tallyrule.streaming import answers
@@ -702,6 +702,66 @@ def embedding_dot(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", "label", N.round_up(dot, 4).alias("dot"))
 
 
+# ---- sealed comparisons and summaries -----------------------------------------------------------------------------------
+
+_LINES = ["Session {Administrative} pages,", "value {PageValues}: 0 or 1?"]
+_PROMPT_SQL = "concat('Session ', printf('%.0f', floor(value)), ' pages,', chr(10), 'value ', printf('%.2f', value), ': 0 or 1?')"
+
+
+def _prompts(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.floor("value").cast("double").alias("Administrative"), F.col("value").alias("PageValues"))
+    return e.select("event_id", sealed.prompt(_LINES).alias("prompt"))
+
+
+@query(f"SELECT event_id, {_PROMPT_SQL} AS prompt, sha256({_PROMPT_SQL}) AS prompt_sha256 FROM events")
+def sealed_prompts(spark, sf_dir):
+    """Prompts from a sealed template and their digests."""
+    return _prompts(spark, sf_dir).withColumn("prompt_sha256", T.digest(F.col("prompt")))
+
+
+@query("SELECT event_id % 11 <> 0 AS sealed, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+def check_prompts(spark, sf_dir):
+    """Logged calls whose prompt was not the sealed one."""
+    made = _prompts(spark, sf_dir)
+    log = made.where("event_id % 3 <> 0").select("event_id", F.when(F.col("event_id") % 11 == 0, "changed").otherwise(T.digest(F.col("prompt"))).alias("prompt_sha256"))
+    return sealed.check_prompts(log, made, ["event_id"]).groupBy("sealed").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) = (SELECT count(DISTINCT user_id) FROM events) AS covers FROM events GROUP BY 1")
+def arm_coverage(spark, sf_dir):
+    """Whether each arm has a value for every sample row."""
+    e = read(spark, sf_dir, "events")
+    return sealed.covers(e, "event_type", "user_id", e.select("user_id").distinct().count())
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 3)")
+def open_replies(spark, sf_dir):
+    """Prompts without a logged reply, where a stopped run goes on."""
+    log = read(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tables.still_open(read(spark, sf_dir, "orders").select("o_orderkey"), log, ["o_orderkey"])
+
+
+@query(f"WITH {ORDERS_SQL}, s AS (SELECT c_mktsegment AS segment, {score_sql(ORDER_RULES)} AS score, y FROM ord JOIN customer ON o_custkey = c_custkey), {auc_sql('s', 'segment')} SELECT count(*) AS patterns, {r6('avg(auc)')} AS mean_auc, sum(octet_length(encode(segment)))::BIGINT AS bytes FROM a")
+def library_summary(spark, sf_dir):
+    """Number, mean AUC and bytes of a library's patterns."""
+    rows = orders(spark, sf_dir).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("segment", F.col("c_mktsegment"))
+    a = metrics.auc(metrics.histogram(rows, score(ORDER_RULES), F.col("y"), ["segment"]), ["segment"])
+    return a.agg(F.count("*").alias("patterns"), N.round_up(F.avg("auc")).alias("mean_auc"), F.sum(F.octet_length("segment")).cast("long").alias("bytes"))
+
+
+@query("SELECT user_id, min(event_id) AS first_id FROM (SELECT user_id, event_id FROM events WHERE value >= 10 AND event_type = 'purchase') GROUP BY 1")
+def first_verified(spark, sf_dir):
+    """The first of each group that passes a gate."""
+    return read(spark, sf_dir, "events").where("value >= 10 AND event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("first_id"))
+
+
+@query("WITH a AS (SELECT DISTINCT user_id, event_type FROM events), s AS (SELECT user_id, string_agg(event_type, '|' ORDER BY event_type) AS key FROM a GROUP BY 1) SELECT key, count(*) AS users FROM s GROUP BY 1")
+def feature_set_keys(spark, sf_dir):
+    """Sets as sorted keys, counted."""
+    sets = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("key"))
+    return sets.groupBy("key").agg(F.count("*").alias("users"))
+
+
 # ---- built-in domains and streams (no tables, or no SQL) ----------------------------------------------------------------
 
 # Published cards of the built-in domains.

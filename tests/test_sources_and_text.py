@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrule.engine import Engine
 from tallyrule.functions import text as T
-from tallyrule.operators import costs, search, textgraph
+from tallyrule.operators import costs, sealed, search, textgraph
 from tallyrule.sources import tables
 
 
@@ -115,3 +115,16 @@ def test_proposers():
 
     assert tables.propose(flaky, "p") == "reply" and len(calls) == 3
     assert tables.propose(None, "p") is None
+
+
+def test_seal_and_receipts():
+    text = 'x\n```json\n{"test": "T", "prompt": ["a {PageValues}"]}\n```\n'
+    assert sealed.read_seal(text, "T")["prompt"] == ["a {PageValues}"]
+    assert sealed.read_seal(text, "U") is None and sealed.read_seal("```json\n{\n```", "T") is None and sealed.read_seal(None, "T") is None
+    r = sealed.hashed({"a": 1, "b": "é"})
+    assert sealed.genuine(r) and not sealed.genuine({**r, "a": 2}) and not sealed.genuine(None)
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([(2.5, float("nan"))], "PageValues double, BounceRates double")
+    assert df.select(sealed.prompt(["v {PageValues} {BounceRates} {PageValues}"], " book ").alias("p")).first()["p"] == "book\n\nv 2.50  2.50"
