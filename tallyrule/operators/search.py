@@ -19,7 +19,7 @@ from tallyrule.functions.text import digest
 from tallyrule.operators import metrics
 from tallyrule.operators.profile import fingerprints
 from tallyrule.operators.routing import GATE_AUC, Pattern
-from tallyrule.operators.scorecard import MAX_FEATURES, MAX_RULES, STEM, WEIGHTS, Gene, Genome, book, cross, cuts, encode, fit, mutate, random_genome, score, seed_text
+from tallyrule.operators.scorecard import MAX_FEATURES, MAX_RULES, STEM, WEIGHTS, Gene, Genome, book, cross, cuts, decode, encode, fit, mutate, random_genome, read_seed, score, seed_text
 from tallyrule.operators.splitting import stratified
 
 
@@ -160,6 +160,17 @@ def grow(df: DataFrame, domain: str, features: list[str], seed: int = 7, effort:
         arena.close()
 
 
+def germinate(df: DataFrame, features: list[str], text: str) -> Pattern | None:
+    """The pattern a seed stands for: its fixed card fitted, or its search run again. None for anything but a genuine seed."""
+    found = read_seed(text)
+    if found is None:
+        return None
+    domain, seed, payload = found
+    if payload.startswith("f:"):
+        return pattern(df, domain, features, decode(payload[2:]), seed)
+    return grow(df, domain, features, seed, Effort(*map(int, payload[2:].split("."))))
+
+
 @dataclass(frozen=True)
 class Library:
     """Verified patterns by domain, what was cut and why, and sizes."""

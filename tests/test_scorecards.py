@@ -188,3 +188,18 @@ def test_judge(spark):
     arms = rows.select(F.lit("P").alias("arm"), "idx", F.col("y").cast("double").alias("score"), F.col("y").alias("label")).union(rows.select(F.lit("F"), "idx", F.lit(0.5), F.lit(1)))
     out = metrics.judge(rows, arms, {"X": ("P", "F", "auc"), "Z": ("P", "gone", "auc")}, {"m": 195}, draws=20)
     assert out["auc"] == {"P": 1.0, "F": 0.5} and [c["holds"] for c in out["claims"]] == [True, False, True]
+
+
+def test_seeds_grow_again(spark):
+    df, names = domains.load(spark, "fraud").cache(), domains.DOMAINS["fraud"].names
+    p = search.germinate(df, names, scorecard.seed_text("fraud", 1, "f:" + CARDS["fraud"]))
+    assert p.held_auc == GRADES["fraud"][0] and search.germinate(df, names, p.seed).pattern_id == p.pattern_id
+    assert search.germinate(df, names, p.seed[:-1] + "x") is None
+    assert search.germinate(df, names, scorecard.seed_text("fraud", 3, "g:6.2.2")).domain == "fraud"
+
+
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf"), float("-inf"), 1e308, -1e308, 0.0, -0.0])
+def test_hostile_inputs_never_fail(spark, value):
+    df = spark.createDataFrame([(value,)], "a double")
+    row = routing.answer(df, [PATTERN]).first()
+    assert row["verdict"] in ("VERIFIED", "ABSTAIN") and 0.0 <= row["route_score"] <= 1.0
