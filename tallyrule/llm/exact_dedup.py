@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import fresh
+from tallyrule.llm.common import fresh, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
 FANOUT_BITS = 4
@@ -168,6 +168,8 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # a digest that stands for two contents would show up twice
     found = found.groupBy("_sha").agg(F.first("_keep").alias("_keep"), F.first("_size").alias("_size"), F.count("*").alias("_contents"))
     found = found.withColumn("_size", F.when(F.col("_contents") > 1, F.raise_error(F.lit("two contents share a SHA-256"))).otherwise(F.col("_size")))
+    # a table of its own: both sides of the join are then plain exchanges, and a digest with very many rows is split among tasks
+    found = materialize(found.drop("_contents"), "classes")
     out = rows.select("_id", "_sha").join(found, "_sha")
     return out.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
