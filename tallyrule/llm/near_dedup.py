@@ -235,7 +235,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     trees = nodes.select("node", F.explode(keys).alias("key"))
     trees = trees.repartition(F.substring("key", 1, 1 + 2 * FLOOR)).sortWithinPartitions("key", "node")
     regions = components(trees.mapInArrow(_neighbours, "a binary, b binary"))
-    regions = materialize(regions.join(regions.groupBy("component").agg(F.count("*").alias("m")), "component"), "regions")
+    # sizes and least ids are tables of their own: both sides of their joins are then plain exchanges, and a large component is split
+    regions = materialize(regions, "regions")
+    sizes = materialize(regions.groupBy("component").agg(F.count("*").alias("m")), "sizes")
+    regions = regions.join(sizes, "component")
 
     member = nodes.join(regions, "node").select(F.col("_id").alias("_mid"), "node", "component", "m")
     picked = rows.join(member, F.col("_id").eqNullSafe(F.col("_mid"))).select("_text", "node", "component", "m")
@@ -247,9 +250,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = spread.repartition("block").sortWithinPartitions("block").mapInArrow(_confirmer(similarity), "a binary, b binary")
     found = components(links)
 
-    best = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "_id")
-    least = best.groupBy("component").agg(F.min("_id").alias("component_id"))
-    labelled = best.join(least, "component").select("node", "component_id")
+    best = materialize(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "_id"), "best")
+    least = materialize(best.groupBy("component").agg(F.min("_id").alias("component_id")), "least")
+    labelled = materialize(best.join(least, "component").select("node", "component_id"), "labelled")
     alone = sketch.where("n = 0").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     out = sketch.where("n > 0").select("_id", "n", "node").join(labelled, "node").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
