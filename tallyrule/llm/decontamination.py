@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment of words scores them."""
+"""Benchmark decontamination: rare word pairs as seeds find passages, Smith-Waterman alignment of words scores them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from tallyrule.llm.common import MULT, mix
 from tallyrule.llm.near_dedup import batches_of_texts, word_hashes
 
-SEED = 3
 #: White space and ASCII punctuation part words here, so changed punctuation costs nothing.
 _GAPS = np.zeros(256, bool)
 _GAPS[[*range(0x21), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -21,44 +21,61 @@ _GAPS[[*range(0x21), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes with offsets, and the sorted seeds with their places."""
+    """A block of test items: ids, word hashes with offsets, the words as places in their sorted vocabulary, and the sorted seeds with
+    their items and places.
+    """
 
     ids: list
     at: np.ndarray
     words: np.ndarray
+    vocabulary: np.ndarray
+    codes: np.ndarray
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    seen: np.ndarray  # for each word of the vocabulary (and any other) the last region that has it; -1 between texts
+
+
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word with the next, and of each word with the one after that; equal words give equal hashes in both."""
+    first = words * np.uint64(MULT)
+    return mix(first[:-1] + words[1:]), mix(first[:-2] + words[2:])
+
+
+def least_seeds(size: int, threshold: float) -> int:
+    """How many words of an item an alignment of at least threshold matches along with one of the next two, one or two words on in the text.
 
+    With m matches and costs p, 2m - p is at least 2 * threshold * size. Of the m - 1 steps between matches all others skip two
+    words or more on one side and cost at least 2, so there are at least threshold * size - 1 such steps.
+    """
+    return max(1, math.ceil(threshold * size - 1 - 1e-9))
 
-def grams(words: np.ndarray, k: int = SEED) -> np.ndarray:
-    """Hashes of k consecutive words."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = words[:n].copy()
-    for i in range(1, k):
-        out = out * np.uint64(MULT) + words[i : i + n]
-    return mix(out)
 
+def index(items: list[tuple], least_words: int, threshold: float = 0.5) -> Items:
+    """The seeds of items with at least least_words words: both pairs of each item's rarest places.
 
-def index(items: list[tuple], least_words: int, common: float = 0.02) -> Items:
-    """The seeds of items with at least least_words words: their n-grams that few items have, or all where none is rare."""
+    All but least_seeds - 1 of an item's places are taken, so every alignment of at least threshold meets one of them; which places
+    count as rare (over the block) decides the time taken, never the result.
+    """
     doc, words = word_hashes([t for _, t in items], _GAPS)
     cuts = np.searchsorted(doc, np.arange(len(items) + 1))
-    own = [grams(words[i:j]) if j - i >= least_words else np.zeros(0, np.uint64) for i, j in zip(cuts, cuts[1:], strict=False)]
-    uniq, count = np.unique(np.concatenate([np.unique(g) for g in own] or [np.zeros(0, np.uint64)]), return_counts=True)
-    often = uniq[count > max(2, common * len(items))]
+    own = [pairs(words[i:j]) if j - i >= max(2, least_words) else (words[:0], words[:0]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    uniq, count = np.unique(np.concatenate([np.unique(np.concatenate(g)) for g in own] or [np.zeros(0, np.uint64)]), return_counts=True)
     seeds, item, place = [], [], []
-    for i, g in enumerate(own):
-        rare = np.flatnonzero(~np.isin(g, often))
-        rare = rare if len(rare) else np.arange(len(g))
-        seeds.append(g[rare])
-        item.append(np.full(len(rare), i))
-        place.append(rare)
+    for i, (near, far) in enumerate(own):
+        if not len(near):
+            continue
+        often = count[np.searchsorted(uniq, near)]
+        often[: len(far)] += count[np.searchsorted(uniq, far)]
+        rare = np.sort(np.argsort(often, kind="stable")[: len(near) + 1 - least_seeds(len(near) + 1, threshold)])
+        wide = rare[rare < len(far)]
+        seeds += [near[rare], far[wide]]
+        item.append(np.full(len(rare) + len(wide), i))
+        place += [rare, wide]
     seeds, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, item, place))
     order = np.argsort(seeds, kind="stable")
-    return Items([i for i, _ in items], cuts, words, seeds[order].astype(np.uint64), item[order], place[order])
+    vocabulary, codes = np.unique(words, return_inverse=True)
+    return Items([i for i, _ in items], cuts, words, vocabulary, codes, seeds[order].astype(np.uint64), item[order], place[order], np.full(len(vocabulary) + 1, -1))
 
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
@@ -77,17 +94,22 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1
 
 
 def matches(x: Items, words: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item number, score, seeds, end word) of the items found in one text; score is the alignment's share of a perfect one."""
-    g = grams(words)
-    if not len(g) or not len(x.seeds):
+    """(item number, score, seeds, end word) of the items found in one text; score is the alignment's share of a perfect one.
+
+    Every region with a seed is aligned unless it has too few of the item's words or pairs for the threshold.
+    """
+    if len(words) < 2 or not len(x.seeds):
         return []
-    lo, hi = np.searchsorted(x.seeds, g, "left"), np.searchsorted(x.seeds, g, "right")
-    at = np.flatnonzero(hi > lo)
+    near, far = pairs(words)
+    g = np.concatenate((near, far))
+    lo = np.searchsorted(x.seeds, g, "left")
+    at = np.flatnonzero(x.seeds[np.minimum(lo, len(x.seeds) - 1)] == g)
     if not len(at):
         return []
-    n = (hi - lo)[at]
-    hit = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    pos = np.repeat(at, n)
+    lo = lo[at]
+    n = np.searchsorted(x.seeds, g[at], "right") - lo
+    hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pos = np.repeat(np.where(at < len(near), at, at - len(near)), n)
     item, shift = x.item[hit], pos - x.place[hit]
     order = np.lexsort((shift, item))
     item, shift = item[order], shift[order]
@@ -95,39 +117,49 @@ def matches(x: Items, words: np.ndarray, threshold: float) -> list[tuple[int, fl
     # seeds of one item whose diagonals lie close together are one region
     cut = np.concatenate(([True], (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > length[1:] // 4 + 8)))
     starts = np.flatnonzero(cut)
+    codes = np.searchsorted(x.vocabulary, words)
+    codes[x.vocabulary[np.minimum(codes, len(x.vocabulary) - 1)] != words] = len(x.vocabulary)
+    seen = x.seen
     found: dict[int, tuple[float, int, int]] = {}
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(item)], strict=True):
         i, size = int(item[s]), int(length[s])
-        if e - s < 2 and size >= 2 * SEED + 2:
+        reach = math.ceil(2 * (1 - threshold) * size)  # words that an alignment can leave out or add
+        a, b = max(0, int(shift[s]) - reach), int(shift[e - 1]) + size + reach
+        seen[codes[a:b]] = s
+        if np.count_nonzero(seen[x.codes[x.at[i] : x.at[i + 1]]] == s) < threshold * size:
             continue
-        a, b = max(0, int(shift[s]) - size // 4 - 8), int(shift[e - 1]) + size + size // 4 + 8
         own, text = x.words[x.at[i] : x.at[i + 1]], words[a:b]
-        if np.isin(own, text).mean() < threshold:
+        first, second = pairs(own)
+        here = np.isin(np.concatenate((first, second)), np.concatenate((near[a : b - 1], far[a : max(a, b - 2)])))
+        seeds = int((here[: len(first)] | np.append(here[len(first) :], False)).sum())
+        if seeds < least_seeds(size, threshold):
             continue
         score, end = align(own, text)
         score /= 2 * size
         if score >= threshold and score > found.get(i, (0.0,))[0]:
-            found[i] = (score, e - s, a + end)
+            found[i] = (score, seeds, a + end)
+    seen[codes] = -1
     return [(i, *v) for i, v in sorted(found.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least_words: int, most_words: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least_words: int, most_words: int, threshold: float) -> Iterator[Items]:
     """The test items in blocks of at most most_words words (or one longer item): the bound of what each task is sent."""
     held, words = [], 0
     for row in benchmark.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
         n = row[1].count(" ") + 1
         if held and words + n > most_words:
-            yield index(held, least_words)
+            yield index(held, least_words, threshold)
             held, words = [], 0
         held.append((row[0], row[1]))
         words += n
     if held:
-        yield index(held, least_words)
+        yield index(held, least_words, threshold)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, least_words: int = 5, most_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, end_word): each whole text's test items that align with at least threshold of a full copy.
 
+    n_seeds is the number of the item's words that occur near the passage with one of the two words after them.
     Test items are the query set; it meets all rows block by block, a block being at most most_words words. A passage found
     in any number of texts costs each only its own alignment, and nothing is shuffled. Items under least_words words, null
     items and null texts match nothing; an empty side gives no rows. Repeated rows or ids are reported for each row.
@@ -136,7 +168,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, n_seeds long, end_word long"
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for items in _blocks(benchmark, item_col, item_text_col, least_words, most_words):
+    for items in _blocks(benchmark, item_col, item_text_col, least_words, most_words, threshold):
 
         def run(batches, items=items):
             for (ids,), texts in batches_of_texts(batches, ("_id",)):
@@ -159,7 +191,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, least_words: int = 5, most_words: int = 2_000_000) -> DataFrame:
     """The rows, with all their columns, whose text matches no test item; decided in place, so nothing is shuffled or joined."""
     out = df
-    for items in _blocks(benchmark, item_col, item_text_col, least_words, most_words):
+    for items in _blocks(benchmark, item_col, item_text_col, least_words, most_words, threshold):
 
         def run(batches, items=items):
             for b in batches:

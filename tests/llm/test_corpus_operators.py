@@ -330,6 +330,34 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df, items.where("false")).count() == 0 and decontamination.contaminated(df.where("false"), items).count() == 0
 
 
+def test_templated_and_edited_items_are_found(spark):
+    stem = "which of the following numbers is the value of this expression given as"
+    rows = [(i, f"{stem} x{i}") for i in range(300)] + [(900, words(11, 71, 5000))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    third = " ".join("other" if k % 3 == 2 else x for k, x in enumerate(rows[-1][1].split()))
+    docs = [(1, f"{words(60, 72)} {rows[7][1]} {words(60, 73)}"), (2, f"{words(60, 74)} {third} {words(60, 75)}"), (3, words(200, 76))]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(frame(spark, docs), items).collect()}
+    assert got[1, 7] == 1.0 and round(got[2, 900], 2) == 0.59 and not any(d == 3 for d, _ in got)
+    assert [r["doc_id"] for r in decontamination.decontaminate(frame(spark, docs), items).collect()] == [3]
+
+
+def test_seeds_miss_no_alignment():
+    r, scores = random.Random(12), []
+    items = [(i, words(r.randrange(5, 40), 100 + i, 60)) for i in range(40)]
+    x = decontamination.index(items, 5)
+    for k in range(300):
+        out = words(40, 900 + k, 60).split()
+        for w in r.choice(items)[1].split():
+            u, rate = r.random(), 0.05 * (k % 10)
+            out += [] if u < rate / 3 else ["new"] if u < rate * 2 / 3 else [w, "more"] if u < rate or k % 10 == 9 else [w]
+        text = near_dedup.word_hashes([" ".join(out + words(40, 5900 + k, 60).split())], decontamination._GAPS)[1]
+        own = [x.words[a:b] for a, b in zip(x.at, x.at[1:], strict=False)]
+        want = {i: decontamination.align(w, text)[0] / (2 * len(w)) for i, w in enumerate(own)}
+        scores += want.values()
+        assert {f[0]: f[1] for f in decontamination.matches(x, text, 0.5)} == {i: s for i, s in want.items() if s >= 0.5}
+    assert sum(0.5 <= s < 0.7 for s in scores) > 50
+
+
 def test_alignment_equals_plain_recurrence():
     r = np.random.default_rng(3)
     for _ in range(50):
