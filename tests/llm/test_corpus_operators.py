@@ -414,6 +414,16 @@ def test_extraction(spark):
     assert html_extract.extract_text(pages.where("false")).count() == 0
 
 
+def test_roots_that_never_open_are_not_chosen():
+    menus = [f'<div id="main-menu">Menu</div><div class="post-comments">I agree</div><span class="entry">Tag</span><div><p>Text {i}</p></div>' for i in range(6)]
+    w = html_extract.infer(menus)
+    assert w["root"] == "" and html_extract.extract(menus[2], w["root"]) == "Tag\n\nText 2"
+    w = html_extract.infer([f'<div>Top</div><div class="post-body">Text {i}</div>' for i in range(6)])
+    assert w["root"] == "marked" and html_extract.extract('<p>x</p><div class="entry">One</div>', w["root"]) == "One"
+    assert html_extract.extract("<p>x</p><article>Two</article>", w["root"]) == "Two" and html_extract.extract("<p>x</p><main>Three</main>", w["root"]) == "Three"
+    assert html_extract.extract("<p>Four</p>", w["root"]) == "Four" and html_extract.extract("<nav><article>x</article></nav><main>Five</main>", "article") == "Five"
+
+
 def test_wrappers_find_fixed_texts():
     pages = [f"<body><article><p>Share this story</p><h1>Title {i}</h1>{''.join(f'<p>text {i} {k}</p>' for k in range(i + 1))}</article></body>" for i in range(6)]
     w = html_extract.infer(pages)
