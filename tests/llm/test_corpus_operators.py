@@ -424,6 +424,19 @@ def test_roots_that_never_open_are_not_chosen():
     assert html_extract.extract("<p>Four</p>", w["root"]) == "Four" and html_extract.extract("<nav><article>x</article></nav><main>Five</main>", "article") == "Five"
 
 
+def test_shared_texts_go_only_where_no_root_is(spark):
+    long, note = words(40, 81), "Free to copy under the licence"
+    rows = [(i, "http://copies.example/", f"<div>{note}</div><article><h1>Title {i}</h1><p>{long}</p><p>{note}</p></article>") for i in range(12)]
+    rows += [(100 + i, "http://plain.example/", f"<div>Footer</div><p>{words(9, i)}</p>" + ("<p>often</p>" if i else "")) for i in range(40)]
+    rows += [(200 + i, "http://same.example/", f"<p>Head {i}</p><p>{long}</p>") for i in range(6)] + [(300 + i, "http://few.example/", f"<p>Footer</p><p>{i}{long}</p>") for i in range(3)]
+    rows += [(400 + i, "http://long.example/", "<p>a</p><br>" * 2000 * (i == 0) + f"<p>{i}{long}</p><div>Footer</div>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[i] == f"Title {i}\n\n{long}\n\n{note}" for i in range(12))
+    assert got[100] == words(9, 0) and all(got[100 + i] == words(9, i) + "\n\noften" for i in range(1, 40))
+    assert all(got[200 + i] == f"Head {i}\n\n{long}" for i in range(6)) and all(got[300 + i] == f"Footer\n\n{i}{long}" for i in range(3))
+    assert all(got[400 + i] == f"{i}{long}" for i in range(1, 5)) and got[400].endswith(f"0{long}")
+
+
 def test_wrappers_find_fixed_texts():
     pages = [f"<body><article><p>Share this story</p><h1>Title {i}</h1>{''.join(f'<p>text {i} {k}</p>' for k in range(i + 1))}</article></body>" for i in range(6)]
     w = html_extract.infer(pages)
