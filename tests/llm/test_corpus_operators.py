@@ -437,6 +437,12 @@ def test_shared_texts_go_only_where_no_root_is(spark):
     assert all(got[400 + i] == f"{i}{long}" for i in range(1, 5)) and got[400].endswith(f"0{long}")
 
 
+def test_inference_reads_whole_pages():
+    pages = [f"<ul>{'<li>x</li>' * 3000 * (i == 0)}</ul><div class='entry'><p>Text {i}</p></div><div>Footer</div>" for i in range(5)]
+    w = html_extract.infer(pages)
+    assert w["root"] == "marked" and w["fixed"] == ["Footer"] and "Footer" in w["wrapper"]
+
+
 def test_wrappers_find_fixed_texts():
     pages = [f"<body><article><p>Share this story</p><h1>Title {i}</h1>{''.join(f'<p>text {i} {k}</p>' for k in range(i + 1))}</article></body>" for i in range(6)]
     w = html_extract.infer(pages)
