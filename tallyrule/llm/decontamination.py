@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,14 @@ from tallyrule.llm.near_dedup import batches_of_texts, word_hashes
 #: White space and ASCII punctuation part words here, so changed punctuation costs nothing.
 _GAPS = np.zeros(256, bool)
 _GAPS[[*range(0x21), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+#: Scripts written without spaces (Thai to Tibetan, Myanmar, Khmer, kana, ideographs): each character is a word.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def spaced(text: str | None) -> str:
+    """The text with spaces around each character of an unspaced script."""
+    text = text or ""
+    return text if text.isascii() else _UNSPACED.sub(r" \g<0> ", text)
 
 
 @dataclass
@@ -34,6 +43,7 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray  # for each word of the vocabulary (and any other) the last region that has it; -1 between texts
+    short: dict  # for each number of words under least_words: sorted hashes of the items with so many, and their numbers
 
 
 def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +52,15 @@ def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(first[:-1] + words[1:]), mix(first[:-2] + words[2:])
 
 
+def runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    n = max(0, len(words) - k + 1)
+    out = words[:n].copy()
+    for i in range(1, k):
+        out = out * np.uint64(MULT) + words[i : i + n]
+    return mix(out)
+
+
 def least_seeds(size: int, threshold: float) -> int:
     """How many words of an item an alignment of at least threshold matches along with one of the next two, one or two words on in the text.
 
@@ -52,12 +71,12 @@ def least_seeds(size: int, threshold: float) -> int:
 
 
 def index(items: list[tuple], least_words: int, threshold: float = 0.5) -> Items:
-    """The seeds of items with at least least_words words: both pairs of each item's rarest places.
+    """The seeds of items with at least least_words words: both pairs of each item's rarest places. Shorter items are kept whole.
 
     All but least_seeds - 1 of an item's places are taken, so every alignment of at least threshold meets one of them; which places
     count as rare (over the block) decides the time taken, never the result.
     """
-    doc, words = word_hashes([t for _, t in items], _GAPS)
+    doc, words = word_hashes([spaced(t) for _, t in items], _GAPS)
     cuts = np.searchsorted(doc, np.arange(len(items) + 1))
     own = [pairs(words[i:j]) if j - i >= max(2, least_words) else (words[:0], words[:0]) for i, j in zip(cuts, cuts[1:], strict=False)]
     uniq, count = np.unique(np.concatenate([np.unique(np.concatenate(g)) for g in own] or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -74,8 +93,15 @@ def index(items: list[tuple], least_words: int, threshold: float = 0.5) -> Items
         place += [rare, wide]
     seeds, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, item, place))
     order = np.argsort(seeds, kind="stable")
+    short = {}
+    for k in range(1, max(2, least_words)):
+        which = np.flatnonzero(np.diff(cuts) == k)
+        if len(which):
+            whole = np.concatenate([runs(words[cuts[i] : cuts[i + 1]], k) for i in which])
+            by = np.argsort(whole, kind="stable")
+            short[k] = whole[by], which[by]
     vocabulary, codes = np.unique(words, return_inverse=True)
-    return Items([i for i, _ in items], cuts, words, vocabulary, codes, seeds[order].astype(np.uint64), item[order], place[order], np.full(len(vocabulary) + 1, -1))
+    return Items([i for i, _ in items], cuts, words, vocabulary, codes, seeds[order].astype(np.uint64), item[order], place[order], np.full(len(vocabulary) + 1, -1), short)
 
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
@@ -93,19 +119,34 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1
     return best, end
 
 
+def exact(x: Items, words: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """The short items that a text holds whole, as in matches(); the end is that of the first copy."""
+    out = []
+    for k, (whole, which) in x.short.items():
+        g = runs(words, k)
+        lo = np.searchsorted(whole, g, "left")
+        at = np.flatnonzero(whole[np.minimum(lo, len(whole) - 1)] == g)
+        h, first = np.unique(g[at], return_index=True)
+        for a, b, end in zip(np.searchsorted(whole, h, "left"), np.searchsorted(whole, h, "right"), at[first] + k, strict=True):
+            out += [(int(i), 1.0, k - 1, int(end)) for i in which[a:b]]
+    return out
+
+
 def matches(x: Items, words: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item number, score, seeds, end word) of the items found in one text; score is the alignment's share of a perfect one.
 
-    Every region with a seed is aligned unless it has too few of the item's words or pairs for the threshold.
+    Every region with a seed is aligned unless it has too few of the item's words or pairs for the threshold. Short items
+    match where they occur whole.
     """
+    whole = exact(x, words) if x.short else []
     if len(words) < 2 or not len(x.seeds):
-        return []
+        return sorted(whole)
     near, far = pairs(words)
     g = np.concatenate((near, far))
     lo = np.searchsorted(x.seeds, g, "left")
     at = np.flatnonzero(x.seeds[np.minimum(lo, len(x.seeds) - 1)] == g)
     if not len(at):
-        return []
+        return sorted(whole)
     lo = lo[at]
     n = np.searchsorted(x.seeds, g[at], "right") - lo
     hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -139,14 +180,14 @@ def matches(x: Items, words: np.ndarray, threshold: float) -> list[tuple[int, fl
         if score >= threshold and score > found.get(i, (0.0,))[0]:
             found[i] = (score, seeds, a + end)
     seen[codes] = -1
-    return [(i, *v) for i, v in sorted(found.items())]
+    return sorted(whole + [(i, *v) for i, v in found.items()])
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least_words: int, most_words: int, threshold: float) -> Iterator[Items]:
     """The test items in blocks of at most most_words words (or one longer item): the bound of what each task is sent."""
     held, words = [], 0
     for row in benchmark.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
-        n = row[1].count(" ") + 1
+        n = spaced(row[1]).count(" ") + 1
         if held and words + n > most_words:
             yield index(held, least_words, threshold)
             held, words = [], 0
@@ -161,8 +202,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     n_seeds is the number of the item's words that occur near the passage with one of the two words after them.
     Test items are the query set; it meets all rows block by block, a block being at most most_words words. A passage found
-    in any number of texts costs each only its own alignment, and nothing is shuffled. Items under least_words words, null
-    items and null texts match nothing; an empty side gives no rows. Repeated rows or ids are reported for each row.
+    in any number of texts costs each only its own alignment, and nothing is shuffled. Items under least_words words
+    match where their words occur whole and in order; null or wordless items and null texts match nothing. Characters of scripts without
+    spaces are words. An empty side gives no rows. Repeated rows or ids are reported for each row.
     """
     kinds = dict(df.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, n_seeds long, end_word long"
@@ -172,7 +214,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches, items=items):
             for (ids,), texts in batches_of_texts(batches, ("_id",)):
-                doc, words = word_hashes(texts, _GAPS)
+                doc, words = word_hashes([spaced(t) for t in texts], _GAPS)
                 cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
                 at, found = [], []
                 for k in range(len(texts)):
@@ -197,7 +239,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
             for b in batches:
                 for i, j in _cut(b, text_col):
                     part = b.slice(i, j - i)
-                    doc, words = word_hashes(part.column(text_col).to_pylist(), _GAPS)
+                    doc, words = word_hashes([spaced(t) for t in part.column(text_col).to_pylist()], _GAPS)
                     cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                     yield part.filter(pa.array([not matches(items, words[a:c], threshold) for a, c in zip(cuts, cuts[1:], strict=False)], pa.bool_()))
 

@@ -358,6 +358,15 @@ def test_seeds_miss_no_alignment():
     assert sum(0.5 <= s < 0.7 for s in scores) > 50
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    item = "下列哪一个数是这个表达式的值"
+    items = spark.createDataFrame([(1, "What is entropy?"), (2, item), (3, "what is"), (4, "..."), (5, "何か")], "item_id long, text string")
+    docs = [(10, f"{words(30, 91)} what is, Entropy: {words(30, 92)}"), (11, f"前文在此。{item}。后文"), (12, f"前文{item[:9]}算{item[10:]}后文"), (13, "what entropy is 何も"), (14, "entropy"), (15, "これは何か"), (16, None)]
+    got = sorted((r["doc_id"], r["item_id"], r["score"] == 1.0, r["end_word"]) for r in decontamination.contaminated(frame(spark, docs), items).collect())
+    assert [g[:3] for g in got] == [(10, 1, True), (10, 3, True), (11, 2, True), (12, 2, False), (15, 5, True)] and got[0][3] == 33
+    assert [r["doc_id"] for r in decontamination.decontaminate(frame(spark, docs), items).collect()] == [13, 14, 16]
+
+
 def test_alignment_equals_plain_recurrence():
     r = np.random.default_rng(3)
     for _ in range(50):
