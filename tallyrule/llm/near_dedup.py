@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import INV, MULT, chunks, components, fresh, materialize, mix, powers, prefix_hash
+from tallyrule.llm.common import INV, MULT, chunks, components, fresh, materialize, mix, powers, prefix_hash, tidy
 
 TREES = 32
-#: Signature values a tree sorts by; neighbours in its order are candidates from FLOOR equal leading values on.
-DEPTH, FLOOR = 6, 5
+#: Signature values a tree sorts by. Neighbours in its order are candidates from FLOOR equal leading values on; a row that has no such
+#: neighbour climbs to its deepest agreement, down to SHALLOW values.
+DEPTH, FLOOR, SHALLOW = 6, 5, 4
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -112,24 +114,93 @@ def _sketcher(width: int, seed: int = 5):
     return run
 
 
+def _agreement(key: np.ndarray) -> np.ndarray:
+    """How many leading values each sorted key shares with the key before it: -1 for the first and across trees."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    tree, values = key[:, 0], key[:, 1:].reshape(len(key), DEPTH, 2)
+    same = (values[1:] == values[:-1]).all(axis=2)
+    depth = np.where(same.all(axis=1), DEPTH, np.argmin(same, axis=1))
+    return np.concatenate(([-1], np.where(tree[1:] == tree[:-1], depth, -1)))
+
+
+def _linked(depth: np.ndarray) -> np.ndarray:
+    """Whether each row is linked with the row before it, from the agreements of a whole run (see forest_links)."""
+    after = np.append(depth[1:], -1)
+    best = np.maximum(depth, after)  # of each row
+    before = np.concatenate(([-1], best[:-1]))
+    # FLOOR holds for all; above it a pair is linked if it is the best that either of its two rows has
+    return (depth >= FLOOR) | (depth >= SHALLOW) & ((depth == best) | (depth == before))
+
+
+def _rows(flat: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in flat], pa.binary())
+
+
 def _neighbours(batches):
-    """Within sorted runs of (tree, sig): each row and its predecessor, if at least FLOOR leading values agree.
+    """Of a task's sorted rows (key, node): the links, as (a, b), and its first and last row, as (a, key, part, turn).
 
-    Sorted neighbours have the longest common prefixes, so a dense region is linked through its deepest agreements first, while
-    everything that agrees on FLOOR values still hangs together in one chain.
+    What goes from batch to batch are three rows: a link is decided by the agreements on its two sides.
     """
-    reach = 1 + 2 * FLOOR  # the tree's number, then the leading values
-    last = None
+    flat = lambda b, c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1)
+    names = ["a", "b", "key", "part", "turn"]
+    part = TaskContext.get().partitionId()
+    key = node = None
+
+    def links(at: np.ndarray):
+        none = pa.nulls(len(at), pa.int32())
+        return pa.RecordBatch.from_arrays([_rows(node[at - 1]), _rows(node[at]), pa.nulls(len(at), pa.binary()), none, none], names)
+
+    def end(k: int, turn: int):
+        return pa.RecordBatch.from_arrays([_rows(node[k : k + 1]), pa.nulls(1, pa.binary()), _rows(key[k : k + 1]), pa.array([part], pa.int32()), pa.array([turn], pa.int32())], names)
+
+    todo = 1  # the first row whose link to the row before it is open
     for b in batches:
         if not len(b):
             continue
-        flat = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1)  # noqa: B023, E731
-        key, node = flat("key"), flat("node")
-        if last is not None:
-            key, node = np.concatenate([last[0], key]), np.concatenate([last[1], node])
-        near = np.flatnonzero((key[1:, :reach] == key[:-1, :reach]).all(axis=1) & (node[1:] != node[:-1]).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array([node[i].tobytes() for i in near], pa.binary()), pa.array([node[i + 1].tobytes() for i in near], pa.binary())], ["a", "b"])
-        last = key[-1:].copy(), node[-1:].copy()
+        if key is None:
+            key, node = flat(b, "key"), flat(b, "node")
+            yield end(0, 0)
+        else:
+            key, node = np.concatenate([key, flat(b, "key")]), np.concatenate([node, flat(b, "node")])
+        on = np.flatnonzero(_linked(_agreement(key))[:-1])
+        yield links(on[on >= todo])
+        key, node = key[-3:].copy(), node[-3:].copy()
+        todo = max(1, len(key) - 1)
+    if key is not None:
+        on = np.flatnonzero(_linked(_agreement(key)))
+        yield links(on[on >= todo])
+        yield end(len(key) - 1, 1)
+
+
+def _seams(batches):
+    """Links between the last row of a task and the first of the next one with rows, from the ends of all tasks in order."""
+    last = None
+    for b in batches:
+        found = []
+        for node, key, turn in zip(*(b.column(c).to_pylist() for c in ("a", "key", "turn")), strict=True):
+            if turn == 0 and last is not None:
+                depth = _agreement(np.frombuffer(last[1] + key, np.uint8).reshape(2, -1))[1]
+                if depth >= SHALLOW and last[0] != node:
+                    found.append((last[0], node))
+            last = node, key
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+
+def forest_links(nodes: DataFrame) -> DataFrame:
+    """Candidate links (a, b) of nodes (node, sig) from the sorted orders of all trees.
+
+    Each row goes to the neighbours with which it shares its longest prefix, so the depth follows the region: where rows agree on
+    FLOOR values and more all of them hang together in one chain, and where they do not, a row climbs to its deepest agreement if
+    that has SHALLOW values. The orders are cut by sampled splitters of whole keys, so a region of any size is spread over tasks;
+    two rows a task are kept to link it with the next.
+    """
+    step = 2 * DEPTH
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring(F.col("sig"), t * step + 1, F.lit(step))))
+    trees = nodes.select("node", F.explode(keys).alias("key")).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    found = materialize(trees.mapInArrow(tidy(_neighbours), "a binary, b binary, key binary, part int, turn int"), "links")
+    ends = found.where("part IS NOT NULL").select("a", "key", "part", "turn").coalesce(1).sortWithinPartitions("part", "turn")
+    return found.where("part IS NULL").select("a", "b").union(ends.mapInArrow(tidy(_seams), "a binary, b binary"))
 
 
 def _link(group: list[tuple[bytes, np.ndarray]], similarity: tuple[int, int]) -> list[tuple[bytes, bytes]]:
@@ -214,40 +285,36 @@ def _name(h: np.ndarray) -> bytes:
         return np.array([h.sum(dtype=np.uint64), mix(h * np.uint64(MULT)).sum(dtype=np.uint64)], ">u8").tobytes()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 4096) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), block: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: components of the links with Jaccard similarity of at least num/den.
 
     1. Each text's shingle set is sketched by TREES * DEPTH min-hashes; equal sets become one node (128 bits of its hashes).
-    2. LSH forest: in each tree's sorted order, neighbours with FLOOR equal leading values are candidates. At similarity 0.8 a pair
-       shares 5 of 5 values with probability 0.33 in each of 32 trees: 3 in a million such pairs are not met.
+    2. LSH forest (forest_links): in each tree's sorted order, neighbours with FLOOR equal leading values are candidates, and rows
+       without any climb to fewer. At similarity 0.8 a pair shares 5 of 5 values with probability 0.33 in each of 32 trees: at most 3
+       in a million such pairs are not met.
     3. Candidates hang together in regions. Each node's full set is sent to its region once, and the links are confirmed there
-       without making lists of pairs. A region of more than `block` nodes is cut into blocks, and each two blocks meet in a task.
+       without making lists of pairs. A region of over `block` shingles is cut into blocks, and each two blocks meet in a task.
     4. Components of the confirmed links, by rounds over tables in the shared folder.
     Texts without words have no shingles and stay alone. Null texts count as empty. Null ids never represent a component unless it has
     no other id. Repeated rows are one node and share `kept`. Empty tables give an empty result. Only id and text are read.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(df.dtypes)[id_col]
-    sketch = materialize(rows.mapInArrow(_sketcher(width), f"_id {kind}, n long, node binary, sig binary"), "sketch")
-    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.first("sig").alias("sig"))
-    step = 2 * DEPTH
-    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring(F.col("sig"), t * step + 1, F.lit(step))))
-    trees = nodes.select("node", F.explode(keys).alias("key"))
-    trees = trees.repartition(F.substring("key", 1, 1 + 2 * FLOOR)).sortWithinPartitions("key", "node")
-    regions = components(trees.mapInArrow(_neighbours, "a binary, b binary"))
+    sketch = materialize(rows.mapInArrow(tidy(_sketcher(width)), f"_id {kind}, n long, node binary, sig binary"), "sketch")
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    regions = components(forest_links(nodes))
     # sizes and least ids are tables of their own: both sides of their joins are then plain exchanges, and a large component is split
-    regions = materialize(regions, "regions")
-    sizes = materialize(regions.groupBy("component").agg(F.count("*").alias("m")), "sizes")
+    sizes = materialize(nodes.select("node", "n").join(regions, "node").groupBy("component").agg(F.sum("n").alias("m")), "sizes")
     regions = regions.join(sizes, "component")
 
     member = nodes.join(regions, "node").select(F.col("_id").alias("_mid"), "node", "component", "m")
     picked = rows.join(member, F.col("_id").eqNullSafe(F.col("_mid"))).select("_text", "node", "component", "m")
-    full = picked.mapInArrow(_setter(width), "node binary, component binary, m long, set binary")
+    full = picked.mapInArrow(tidy(_setter(width)), "node binary, component binary, m long, set binary")
     parts = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     blocks = F.when(F.col("m") <= block, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.concat_ws(",", F.least(k, mine), F.greatest(k, mine))))
     spread = full.select("node", "set", "component", F.explode(blocks).alias("pair")).select(F.concat_ws("/", F.hex("component"), "pair").alias("block"), "node", "set")
-    links = spread.repartition("block").sortWithinPartitions("block").mapInArrow(_confirmer(similarity), "a binary, b binary")
+    links = spread.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_confirmer(similarity)), "a binary, b binary")
     found = components(links)
 
     best = materialize(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "_id"), "best")

@@ -259,7 +259,7 @@ def near_docs():
     return docs + [(200, "one"), (201, "ONE"), (202, "one two"), (203, "two one"), *[(300 + i, t) for i, (_, t) in enumerate(EDGE[:11])], (None, words(40, 77))]
 
 
-@pytest.mark.parametrize(("width", "block"), [(2, 4096), (5, 4096), (2, 4)])
+@pytest.mark.parametrize(("width", "block"), [(2, 1 << 20), (5, 1 << 20), (2, 500)])
 def test_near_duplicates(spark, width, block):
     docs = near_docs()
     got = near_dedup.near_duplicates(frame(spark, docs), width=width, block=block).collect()
@@ -274,9 +274,46 @@ def test_near_dedup_keeps_columns(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
 
 
+def test_forest_links_do_not_depend_on_batches_or_tasks(spark):
+    r = np.random.default_rng(4)
+    sig = r.integers(0, 2, (300, near_dedup.TREES * near_dedup.DEPTH)).astype(">u2")
+    rows = [(i.to_bytes(16, "big"), s.tobytes()) for i, s in enumerate(sig)]
+    want = set()
+    for t in range(near_dedup.TREES):
+        order = sorted((s[12 * t : 12 * t + 12], n) for n, s in rows)
+        shared = [-1] + [next((k for k in range(6) if x[0][2 * k : 2 * k + 2] != y[0][2 * k : 2 * k + 2]), 6) for x, y in zip(order, order[1:], strict=False)] + [-1]
+        for i in range(1, len(order)):
+            if shared[i] >= 5 or shared[i] == 4 and (max(shared[i - 1], shared[i + 1]) <= 4 or max(shared[i - 1], shared[i]) == 4 or max(shared[i], shared[i + 1]) == 4):
+                want.add((order[i - 1][1], order[i][1]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        one = near_dedup.forest_links(spark.createDataFrame(rows, "node binary, sig binary").coalesce(1))
+        got = {(bytes(x["a"]), bytes(x["b"])) for x in one.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got >= want and len(got - want) <= 32  # the seams of tasks may link a pair at depth four more
+
+
+@pytest.mark.parametrize("most_local", [0, 1000])
+def test_components_do_not_depend_on_where_they_end(spark, most_local):
+    r = random.Random(9)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(300)]
+    parent = list(range(400))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for x, y in pairs:
+        parent[max(root(x), root(y))] = min(root(x), root(y))
+    got = {x["node"]: x["component"] for x in common.components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long"), most_local=most_local).collect()}
+    assert got == {k: root(k) for x, y in pairs if x != y for k in (x, y)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(900, 901)], "a long, b long"))
-    got = {r["node"]: r["component"] for r in common.components(edges).collect()}
+    got = {r["node"]: r["component"] for r in common.components(edges, most_local=50).collect()}
     assert got == {**{i: 0 for i in range(301)}, 900: 900, 901: 900}
 
 
