@@ -150,6 +150,56 @@ def test_bpe_equals_library(spark):
         assert row["decoded_sha256"] == hashlib.sha256(row["decoded"].encode()).hexdigest()
 
 
+def test_merges_equal_library():
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = bpe.default_tokenizer()
+    tok, spec = Tokenizer.from_file(path), json.loads(open(path, encoding="utf-8").read())
+    r, symbols = random.Random(7), bpe.byte_symbols()
+    words_ = [bytes(r.choice(b"abcdeinorst") for _ in range(r.randrange(1, 90))) for _ in range(500)]
+    words_ += [bytes(r.randrange(256) for _ in range(r.randrange(1, 60))) for _ in range(300)] + [b"a" * n for n in range(1, 70)] + [b"ab" * 4000, b""]
+    want = [[t.id for t in tok.model.tokenize("".join(symbols[b] for b in w))] for w in words_]
+    for short in (0, 48, 10_000):
+        some = len(words_) if short < 10_000 else -2  # a word of 8,000 bytes by arrays takes as many rounds
+        assert bpe.Merges(spec["model"]["vocab"], spec["model"]["merges"], symbols, short)(words_[:some]) == want[:some]
+
+
+def test_codec_caches_are_bounded(tmp_path):
+    path = bpe.default_tokenizer()
+    lexicon = bpe.compile_lexicon(path, str(tmp_path))
+    small, large = bpe.Codec(path, lexicon, cache=50, longest=8), bpe.Codec(path, lexicon)
+    texts = [words(60, i, 3000) + " " + "unspaced" * i for i in range(40)]
+    for i in range(0, 40, 4):
+        assert list(small.both(texts[i : i + 4])) == list(large.both(texts[i : i + 4]))
+        assert max(map(len, (small.known, small.parts))) < 50 + 4 * 62
+    assert all(len(x) <= 8 for x in [*small.known, *small.parts])
+
+
+def test_workers_collect_garbage_after_encoding(spark):
+    df = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    assert bpe.encode(df, bpe.default_tokenizer()).count() == 8 and bpe.encode(df, bpe.default_tokenizer()).limit(1).count() == 1
+
+    def enabled(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()] * len(b))], ["on"])
+
+    assert all(x["on"] for x in df.mapInArrow(enabled, "on boolean").collect())
+
+
+def test_long_unspaced_text(spark):
+    from tokenizers import Tokenizer
+
+    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(400_000))
+    got = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), bpe.default_tokenizer()).first()
+    assert got["ids"] == Tokenizer.from_file(bpe.default_tokenizer()).encode(text, add_special_tokens=False).ids
+
+
 def test_automaton_numbers_its_words(tmp_path):
     r = random.Random(1)
     table = {bytes(r.choice(b"abc") for _ in range(r.randrange(1, 7))): i for i in range(300)}
@@ -174,6 +224,9 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == g and got[i]["score"] > 0.5 for i, _, g in rows)
     assert [got[i]["lang_pred"] for i in (90, 91, 92, 93)] == ["und", "und", "aa", "und"]
     assert language_id.keep_identified(df, p).count() == 41
+    odd = spark.createDataFrame([(1, "βγδ ζηθ κλμ " * 30), (2, "tahu mika lote"), (2, "tahu mika lote"), (None, "strch vlkn brzk"), (3, None), (4, "..."), (5, "")], "doc_id long, text string")
+    assert sorted(str(x["doc_id"]) for x in language_id.keep_identified(odd, p).collect()) == ["2", "2", "None"]  # what resembles no language goes
+    assert language_id.keep_identified(odd.where("false"), p).count() == 0
     none = language_id.learn(df.where("false"))
     assert {x["lang_pred"] for x in language_id.predict(df, none).collect()} == {"und"}
     assert language_id.predict(frame(spark, EDGE), p).count() == len(EDGE)
