@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrule.llm.common import tidy
+
 #: Symbol classes: 0 what is no letter, 1-26 the letters a to z, 27-63 all other letters by a hash of the code point.
 CLASSES = 64
 NGRAM = 3
@@ -67,8 +69,9 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: in
     """Bundle the n-gram vectors of each language's texts into a prototype.
 
     The counts cover every labelled row. Each task sums its own counts first; what reaches the driver is one count for each
-    language and n-gram code, at most most_langs * CLASSES**3 and in practice some thousands a language. A text's counts are
-    scaled to unit length, so long texts do not outweigh short ones. Rows with a null language or without letters teach nothing.
+    language and n-gram code, at most most_langs * CLASSES**3 and in practice some thousands a language; over most_langs languages raise
+    an error instead of leaving some out. A text's counts are scaled to unit length, so long texts do not outweigh short ones. Rows
+    with a null language or without letters teach nothing, repeated rows teach each time, and an empty table gives no language.
     """
 
     def count(batches):
@@ -83,7 +86,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: in
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "code", "n"])
 
     rows = df.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang IS NOT NULL AND _text IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum(F.round("n", 9)).alias("n"))
+    counts = rows.mapInArrow(tidy(count), "lang string, code int, n double").groupBy("lang", "code").agg(F.sum(F.round("n", 9)).alias("n"))
     table = counts.toArrow().to_pandas().sort_values(["lang", "code"])
     langs = tuple(sorted(table["lang"].unique()))
     if len(langs) > most_langs:
@@ -122,10 +125,11 @@ class Identifier:
         self.dots[at] = self.vectors[at].astype(np.float32) @ self.profiles.prototypes.T
         self.made = at.stop
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, float, float]:
+        """(language, score, cosine with its prototype)."""
         found = self.grams(text) if self.profiles.langs else None
         if found is None:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         codes, n = found
         self.learn_codes(codes)
         at, n = self.place[codes], n.astype(np.float32)
@@ -134,7 +138,7 @@ class Identifier:
             bundle += n[k : k + 2048] @ self.vectors[at[k : k + 2048]].astype(np.float32)
         cosine = (n @ self.dots[at]) / max(float(np.linalg.norm(bundle)), 1e-9)
         best = int(np.argmax(cosine))
-        return self.profiles.langs[best], float(1 / np.exp(self.sharpness * (cosine - cosine[best])).sum())
+        return self.profiles.langs[best], float(1 / np.exp(self.sharpness * (cosine - cosine[best])).sum()), float(cosine[best])
 
 
 def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 20.0) -> DataFrame:
@@ -149,21 +153,28 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
         identify = Identifier(profiles, sharpness)
         for b in batches:
             found = [identify(text.as_py()) for text in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
+def keep_identified(df: DataFrame, profiles: Profiles, text_col: str = "text", least_sigmas: float = 3.0) -> DataFrame:
+    """The rows, with all their columns, whose text is in a language of the profiles; decided in place.
 
-def keep_identified(df: DataFrame, profiles: Profiles, text_col: str = "text", sharpness: float = 20.0, least_score: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose text is given a language with a score over least_score; decided in place."""
+    Vectors that have nothing to do with each other have cosines around 0 with a standard deviation of 1 / sqrt(dim). A text goes if
+    its best cosine is under least_sigmas of those, so that it resembles no language more than noise does, or if it is null, empty
+    or without letters. Repeated rows and ids are judged each; an empty table, or profiles without a language, give an empty
+    result. All columns pass through whatever their names.
+    """
+    least = least_sigmas / np.sqrt(profiles.dim)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        identify = Identifier(profiles, sharpness)
+        identify = Identifier(profiles, 1.0)
         for b in batches:
             found = [identify(text.as_py()) for text in b.column(text_col)]
-            yield b.filter(pa.array([lang != "und" and score > least_score for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and cosine >= least for lang, _, cosine in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def held_out(id_col: str = "doc_id"):
