@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import MULT, mix
+from tallyrule.llm.common import MULT, chunks, mix, tidy
 from tallyrule.llm.near_dedup import batches_of_texts, word_hashes
 
 #: White space and ASCII punctuation part words here, so changed punctuation costs nothing.
@@ -225,7 +225,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 if found:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), item_ids, pa.array([f[1] for f in found]), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())], ["doc_id", "item_id", "score", "n_seeds", "end_word"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
@@ -243,13 +243,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                     cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                     yield part.filter(pa.array([not matches(items, words[a:c], threshold) for a, c in zip(cuts, cuts[1:], strict=False)], pa.bool_()))
 
-        out = out.mapInArrow(run, df.schema)
+        out = out.mapInArrow(tidy(run), df.schema)
     return out
 
 
 def _cut(batch: pa.RecordBatch, text_col: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    from tallyrule.llm.common import chunks
-
     yield from chunks(np.array([len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column(text_col)], np.int64), limit)
 
 

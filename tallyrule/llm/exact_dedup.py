@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import fresh, materialize
+from tallyrule.llm.common import fresh, materialize, tidy
 
 SPACES = r"[\x20\x09-\x0D]+"
 FANOUT_BITS = 4
@@ -152,8 +152,8 @@ def classes(rows: DataFrame, budget: int = 64 << 20) -> DataFrame:
     def finish(batches):
         yield from _batches(grace(_entries(batches), budget), slim, False)
 
-    local = rows.mapInArrow(combine, f"_sha binary, _id {kind}, _n long, _text string")
-    return local.repartition(F.col("_sha")).mapInArrow(finish, f"_sha binary, _keep {kind}, _size long")
+    local = rows.mapInArrow(tidy(combine), f"_sha binary, _id {kind}, _n long, _text string")
+    return local.repartition(F.col("_sha")).mapInArrow(tidy(finish), f"_sha binary, _keep {kind}, _size long")
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

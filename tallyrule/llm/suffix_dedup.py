@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import INV, materialize, mix, powers, prefix_hash
+from tallyrule.llm.common import INV, materialize, mix, powers, prefix_hash, tidy
 from tallyrule.llm.near_dedup import batches_of_texts
 
 SEED = 32
@@ -267,9 +267,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(df.dtypes)[id_col]
     key = F.unhex(F.substring(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.length(F.coalesce(F.col(text_col), F.lit(""))), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))), 256), 1, 24))  # 96 bits
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(key, F.lit(b"")).alias("_uid"))
-    found = materialize(rows.select("_uid", "_text").mapInArrow(_anchor_rows(length), "uid binary, at long, seed long, c1 long, c2 long"), "anchors")
+    found = materialize(rows.select("_uid", "_text").mapInArrow(tidy(_anchor_rows(length)), "uid binary, at long, seed long, c1 long, c2 long"), "anchors")
 
-    seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1")
+    seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2")).alias("lo"), F.max(F.struct("c1", "c2")).alias("hi")).where("n > 1")
     # a table of its own: both sides of the join are then plain exchanges, and a seed with very many anchors is split among tasks
     seeds = materialize(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("mixed")), "seeds")
     hits = materialize(found.join(seeds, "seed"), "hits")
@@ -277,7 +277,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wants = one.select(F.col("one.uid").alias("uid"), F.struct("seed", "c1", "c2", F.col("one.at").alias("at"), (F.col("n") > 1).alias("many")).alias("want"))
     wants = wants.groupBy("uid").agg(F.collect_list("want").alias("wants"))
     # the same columns by the same key as in the last join below, so the texts are exchanged once for both
-    bytes_ = rows.join(wants, F.col("_uid") == F.col("uid")).select("_id", "_text", "wants").mapInArrow(_fetch(length), "seed long, c1 long, c2 long, bytes binary, o int, w int, many boolean")
+    bytes_ = rows.join(wants, F.col("_uid") == F.col("uid")).select("_id", "_text", "wants").mapInArrow(tidy(_fetch(length)), "seed long, c1 long, c2 long, bytes binary, o int, w int, many boolean")
     half = length // 2
     after = F.expr(f"substring(bytes, o + 1, {half})")
     before = F.reverse(F.hex(F.expr(f"substring(bytes, greatest(1, o - {half} + 1), least(o, {half}))")))
@@ -286,14 +286,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     far = F.struct(F.concat(F.lit(b"b"), F.encode(before, "UTF-8"), F.expr(f"substring(bytes, o + 1, {SEED})")).alias("lead"), F.greatest(low, F.lit(half + 1)).alias("low"), high.alias("high"))
     both = bytes_.select("seed", "c1", "c2", "bytes", "o", "many", F.explode(F.filter(F.array(near, far), lambda x: x["low"] <= x["high"])).alias("x")).select("seed", "c1", "c2", "bytes", "o", "many", "x.*")
     buckets = both.repartitionByRange("lead").sortWithinPartitions("lead")
-    bits = buckets.select("lead", "seed", "c1", "c2", "bytes", "o", "low", "high", "many").mapInArrow(_compare_rows(length), "seed long, c1 long, c2 long, bits binary")
+    bits = buckets.select("lead", "seed", "c1", "c2", "bytes", "o", "low", "high", "many").mapInArrow(tidy(_compare_rows(length)), "seed long, c1 long, c2 long, bits binary")
     bits = bits.where(F.expr("bits <> X'" + "00" * ((length - SEED + 8) // 8) + "'"))
 
     settled = hits.where("NOT mixed").select("uid", "at", F.lit(None).cast("binary").alias("bits"))
     compared = hits.where("mixed").join(bits, ["seed", "c1", "c2"]).select("uid", "at", "bits")
     spans = settled.union(compared).groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("spans"))
     final = rows.join(spans, F.col("_uid") == F.col("uid"), "left").select("_id", "_text", "spans")
-    return final.mapInArrow(_remove(length, texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else ""))
+    return final.mapInArrow(tidy(_remove(length, texts)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else ""))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
