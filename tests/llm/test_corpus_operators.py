@@ -513,14 +513,66 @@ def test_extraction(spark):
     assert html_extract.extract_text(pages.where("false")).count() == 0
 
 
-def test_roots_that_never_open_are_not_chosen():
-    menus = [f'<div id="main-menu">Menu</div><div class="post-comments">I agree</div><span class="entry">Tag</span><div><p>Text {i}</p></div>' for i in range(6)]
-    w = html_extract.infer(menus)
-    assert w["root"] == "" and html_extract.extract(menus[2], w["root"]) == "Tag\n\nText 2"
-    w = html_extract.infer([f'<div>Top</div><div class="post-body">Text {i}</div>' for i in range(6)])
-    assert w["root"] == "marked" and html_extract.extract('<p>x</p><div class="entry">One</div>', w["root"]) == "One"
-    assert html_extract.extract("<p>x</p><article>Two</article>", w["root"]) == "Two" and html_extract.extract("<p>x</p><main>Three</main>", w["root"]) == "Three"
-    assert html_extract.extract("<p>Four</p>", w["root"]) == "Four" and html_extract.extract("<nav><article>x</article></nav><main>Five</main>", "article") == "Five"
+def test_rules_take_roots_that_open():
+    assert html_extract.extract('<div id="main-menu">Menu</div><div class="post-comments">I agree</div><span class="entry">Tag</span><div><p>Text</p></div>') == "Tag\n\nText"
+    assert html_extract.extract('<p>x</p><div class="entry">One</div>') == "One" and html_extract.extract("<p>x</p><main>Three</main>") == "Three"
+    assert html_extract.extract("<nav><article>x</article></nav><main>Five</main>") == "Five"
+
+
+def test_class_names_are_judged_whole():
+    page = '<article><p>one</p><div class="related-work">two</div><section id="comment-on-law">three</section><div class="post-comments">no</div><div id="ad-slot-3">no</div><p class="cookie-notice">no</p><div class="noticed advertise">four</div></article>'
+    assert html_extract.extract(page) == "one\n\ntwo\n\nthree\n\nfour"
+
+
+def unmarked(i, notice=False):
+    """A page without any telling element or class: menu, story, adverts and foot in plain elements, all but the foot different each time."""
+    menu = "".join(f"<li><a href='/{k}'>{words(1, 50 * i + k)}</a></li>" for k in range(3 + i % 3))
+    body = "".join(f"<p>{words(20, 1000 * i + k)} <b>bold</b></p>" for k in range(2 + i % 4))
+    return f"<html><body><div><ul>{menu}</ul></div>{'<section>New here</section>' if notice else ''}<div><div>{words(4, 7 * i)} offer</div></div><div><h1>Title {i}</h1>{body}<table><tr><td>cell {i}</td></tr></table></div><div>All rights reserved, the publisher of this site</div></body></html>", f"Title {i}\n\n" + "\n\n".join(f"{words(20, 1000 * i + k)} bold" for k in range(2 + i % 4)) + f"\n\ncell {i}"
+
+
+def lcs(a, b):
+    """The plainest aligner: longest common subsequence by its recurrence."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif n[i + 1][j] >= n[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_wrappers_decide_where_the_main_text_is():
+    pages = [unmarked(i, notice=i % 3 == 0) for i in range(20)]
+    spec = html_extract.infer([p for p, _ in pages[:8]])
+    assert "[<section $ >section]?" in spec["wrapper"] and ")+" in spec["wrapper"] and "$" in spec["wrapper"]
+    plain = html_extract.infer([p for p, _ in pages[:8]], lcs)
+    for page, want in pages:
+        assert html_extract.extract(page, spec) == html_extract.extract(page, plain) == want
+        assert html_extract.extract(page) != want  # without the wrapper menus, offers and the foot come along
+    assert html_extract.extract("<main>Another template</main><div>foot</div>", spec) == "Another template"
+    assert html_extract.infer([p for p, _ in pages[:3]])["root"] is None and html_extract.infer([pages[0][0]] * 9)["root"] is None and html_extract.infer([])["root"] is None
+    two = [f"<body><article><p>first {words(9, i)}</p></article><div>{i}</div><article><p>second {words(9, -i)}</p></article></body>" for i in range(6)]
+    assert html_extract.infer(two)["root"] is None and "second" in html_extract.extract(two[2], html_extract.infer(two))
+    long = unmarked(3)[0].replace("<h1>", "<p>" + "word " * 200_000 + "</p>" + "<ul><li>x</li></ul><p>y</p>" * 5000 + "<h1>")
+    assert len(html_extract.extract(long, spec)) > 1_000_000 and "offer" not in html_extract.extract(long, spec)
+
+
+def test_wrappers_in_spark(spark, tmp_path):
+    pages = [(i, "http://plain.example/x", *unmarked(i, i % 3 == 0)) for i in range(30)] + [(100 + i, "http://few.example/", f"<article>{i}</article>", str(i)) for i in range(2)]
+    frame_ = spark.createDataFrame([(i, u, h, "x", "y") for i, u, h, _ in pages], "page_id long, url string, html string, _host string, _wrapper string")
+    frame_.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = html_extract.op10_html_extract(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted((i, t, len(t)) for i, _, _, t in pages)
+    joined = html_extract.extract_text(spark.read.parquet(str(tmp_path / "pages.parquet")), most_broadcast=-1).collect()
+    assert sorted(joined) == sorted(got)
 
 
 def test_shared_texts_go_only_where_no_root_is(spark):
@@ -536,19 +588,6 @@ def test_shared_texts_go_only_where_no_root_is(spark):
     assert all(got[400 + i] == f"{i}{long}" for i in range(1, 5)) and got[400].endswith(f"0{long}")
 
 
-def test_inference_reads_whole_pages():
-    pages = [f"<ul>{'<li>x</li>' * 3000 * (i == 0)}</ul><div class='entry'><p>Text {i}</p></div><div>Footer</div>" for i in range(5)]
-    w = html_extract.infer(pages)
-    assert w["root"] == "marked" and w["fixed"] == ["Footer"] and "Footer" in w["wrapper"]
-
-
-def test_wrappers_find_fixed_texts():
-    pages = [f"<body><article><p>Share this story</p><h1>Title {i}</h1>{''.join(f'<p>text {i} {k}</p>' for k in range(i + 1))}</article></body>" for i in range(6)]
-    w = html_extract.infer(pages)
-    assert w["root"] == "article" and w["fixed"] == ["Share this story"] and ")+" in w["wrapper"]
-    assert html_extract.extract(pages[1], w["root"], frozenset(w["fixed"])) == "Title 1\n\ntext 1 0\n\ntext 1 1"
-
-
 # ---- empty tables -------------------------------------------------------------------------------------------------------
 
 
