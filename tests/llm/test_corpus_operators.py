@@ -394,13 +394,75 @@ def test_base_spans(spark, tmp_path):
         assert all(f"{k}:{a}:{e}" in got[i]["spans"].split(",") for a, _, e, k in want)
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
+NAMES = "user account get set data service manager controller factory default config request response handler message queue parse file path image index value create update delete select string buffer stream network server client session cache record table column version release build test module package import export process thread engine render widget window button layout color background border position".split()
+
+
+def ordinary_token(r, kind):
+    """A CamelCase name, a path or a name with underscores, with a number at its end."""
+    while True:
+        some = r.sample(NAMES, r.randrange(3, 8))
+        out = {"camel": "".join(w.capitalize() for w in some), "path": "/".join(some) + "/v", "snake": "_".join(some) + "_"}[kind] + str(r.randrange(1, 300))
+        if 20 <= len(out) <= 64:
+            return out
+
+
+def random_token(r, alphabet):
+    while True:
+        out = "".join(r.choice(alphabet) for _ in range(r.randrange(20, 65)))
+        if re.search("[0-9]", out) and re.search("[A-Za-z]", out):
+            return out
+
+
+def sum_of_tests(t):
+    """The battery in plain Python."""
+    c = t.replace("-", "+").replace("_", "/")
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "base32" if re.fullmatch("[A-Z2-7]+", t) else "base64"
+    alphabet, c = secrets.ALPHABETS[kind], c.lower() if kind == "hex" else c
+    n, k, v = len(c), len(alphabet), [alphabet.index(x) for x in c]
+    chi = sum((m - n / k) ** 2 / (n / k) for m in [c.count(x) for x in alphabet])
+    group = lambda x: "U" if x.isupper() else "L" if x.islower() else "D" if x.isdigit() else "S"
+    share = collections.Counter(map(group, alphabet))
+    change = 1 - sum((m / k) ** 2 for m in share.values())
+    runs = sum(group(x) != group(y) for x, y in zip(c, c[1:], strict=False))
+    m = sum(v) / n
+    serial = sum((x - m) * (y - m) for x, y in zip(v, v[1:], strict=False)) / max(sum((x - m) ** 2 for x in v), 1e-9)
+    z = ((chi - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5, (runs - (n - 1) * change) / ((n - 1) * change * (1 - change)) ** 0.5, (serial + 1 / n) * n**0.5)
+    return secrets.ENCODINGS.index(kind), z[0] - z[1] + max(z[2], 0)
+
+
+def test_random_tokens_are_found_and_names_are_not(spark):
     r = random.Random(5)
-    key = "".join(r.choice(secrets.ALPHABETS["base64"]) for _ in range(48)).replace("/", "a").replace("+", "b")
-    plain = [(i, "see_the_manual_of_version_2_for_all_details and aaaaaaaaaaaaaaaaaaaaaaaaaaaa1111111111") for i in range(30)]
-    got = by_id(secrets.scan(frame(spark, [(99, f"key {key} end"), *plain, *EDGE[:3]])))
-    assert [(x["s"], x["e"]) for x in got[99]["random"]] == [(4, 52)]
-    assert not any(got[i]["random"] for i, _ in plain)
+    keys = [random_token(r, secrets.ALPHABETS[k]) for k in ("base64", "base32", "hex") for _ in range(100)]
+    keys = [k.upper() if re.fullmatch("[0-9a-f]+", k) else k for k in keys]  # small hex keys are base spans
+    plain = [ordinary_token(r, ("camel", "path", "snake")[i % 3]) for i in range(600)]
+    letters = [re.sub("[0-9]", "", ordinary_token(r, ("camel", "path", "snake")[i % 3])) for i in range(300)]
+    tokens_ = [*keys, *plain, *letters]
+    got = secrets.scan(frame(spark, [(i, f"see {t} there") for i, t in enumerate(tokens_)] + EDGE[:3])).collect()
+    found = {r["doc_id"] for r in got if r["random"] and r["doc_id"] < len(tokens_)}
+    assert sum(i < 300 for i in found) >= 270
+    assert sum(i >= 300 for i in found) <= 0.05 * len(found)
+    # against plain Python: the sums, the null, the p-values and the rejected
+    import statistics
+
+    tests = [(i, t, *sum_of_tests(t)) for i, t in enumerate(tokens_) if len(t) >= 20]
+    sums = spark.createDataFrame([(i, t) for i, t, _, _ in tests], "i long, t string").select("i", secrets.battery(F.col("t")).alias("x")).collect()
+    assert all(x["x"]["kind"] == k and abs(x["x"]["stat"] - s) < 1e-6 for x, (_, _, k, s) in zip(sorted(sums, key=lambda x: x["i"]), tests, strict=True))
+    band = lambda t: sum(len(t) >= b for b in secrets.BANDS) - 1
+    want = set()
+    pv = {}
+    for i, t, k, s in tests:
+        own = [y for _, u, j, y in tests if j == k and band(u) == band(t) and not re.search("[0-9]", u)]
+        mean, sd = secrets.PRIOR[band(t)]
+        n = len(own) + secrets.PRIOR_TOKENS
+        mu = (sum(own) + secrets.PRIOR_TOKENS * mean) / n
+        var = (sum(y * y for y in own) + secrets.PRIOR_TOKENS * (mean**2 + sd**2)) / n - mu**2
+        if re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+            pv[i] = statistics.NormalDist(mu, max(var, 0.25) ** 0.5).cdf(s)
+    for b in range(3):
+        own = sorted((p, i) for i, p in pv.items() if band(tokens_[i]) == b)
+        last = max((k for k, (p, _) in enumerate(own) if p <= 0.05 * (k + 1) / len(own)), default=-1)
+        want |= {i for _, i in own[: last + 1]}
+    assert len(want ^ found) <= 0.01 * len(want)  # p-values count in hundredths of their logarithm there
 
 
 # ---- benchmark items ----------------------------------------------------------------------------------------------------
