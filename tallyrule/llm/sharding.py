@@ -23,9 +23,16 @@ class Leaf:
     weight: float = 1.0
 
 
-def topology(n: int, racks: int = 2, per_rack: int = 2) -> tuple[Leaf, ...]:
-    """n equal shards, filled rack by rack; every region but the last holds racks * per_rack shards."""
-    return tuple(Leaf(f"g{i // (racks * per_rack)}", f"g{i // (racks * per_rack)}k{i // per_rack}", i) for i in range(n))
+def topology(n: int, initial: int | None = None, racks: int = 2, per_rack: int = 2) -> tuple[Leaf, ...]:
+    """n equal shards, of which the first `initial` (all by default) stand rack by rack in regions of racks * per_rack shards.
+
+    Every later shard is a region of its own. With the same `initial`, one more shard therefore takes rows only into itself: at
+    the top of the tree the draws of all other regions stay as they were, and below it nothing changes.
+    """
+    first = min(n, n if initial is None else initial)
+    region = lambda i: f"g{i // (racks * per_rack)}"
+    old = tuple(Leaf(region(i), f"{region(i)}k{i // per_rack}", i) for i in range(first))
+    return (*old, *(Leaf(f"s{i:06d}", f"s{i:06d}k", i) for i in range(first, n)))
 
 
 def _draw(key: Column, name: str, weight: float) -> Column:
@@ -91,10 +98,8 @@ def assign(df: DataFrame, leaves: tuple[Leaf, ...], id_col: str = "doc_id", text
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 7, and where each goes with a ninth shard in a region of its own."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    eight = topology(8)
-    return assign(docs, eight, grown=(*eight, Leaf("g2", "g2k4", 8)))
+    """All documents into shards 0 to 7, and where each goes with a ninth shard."""
+    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), topology(8), grown=topology(9, 8))
 
 
 def _choice_sql(options: dict[str, tuple[float, str]]) -> str:
@@ -121,6 +126,6 @@ crc AS (SELECT list(v ORDER BY i) AS t FROM steps),
 d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
 c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32 FROM b, crc),
-s AS (SELECT *, ({shard_sql(topology(8))})::INT AS shard, ({shard_sql((*topology(8), Leaf("g2", "g2k4", 8)))})::INT AS grown_shard, substr(md5(doc_id || ':slot'), 1, 3) AS bucket FROM c)
+s AS (SELECT *, ({shard_sql(topology(8))})::INT AS shard, ({shard_sql(topology(9, 8))})::INT AS grown_shard, substr(md5(doc_id || ':slot'), 1, 3) AS bucket FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM s
 """

@@ -244,7 +244,7 @@ def test_held_out_accuracy(spark, data):
 def test_shards(spark):
     docs = [(i, words(i % 7, i)) for i in range(2000)] + EDGE
     eight = sharding.topology(8)
-    rows = sharding.assign(frame(spark, docs), eight, grown=(*eight, sharding.Leaf("g2", "g2k4", 8))).collect()
+    rows = sharding.assign(frame(spark, docs), eight, grown=sharding.topology(9, 8)).collect()
     assert len(rows) == len(docs)
     for s in range(8):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
@@ -258,6 +258,16 @@ def test_shards(spark):
     assert all((r["size"], r["text_crc32"]) in texts[r["doc_id"]] for r in rows)
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    df = spark.range(1500)
+    steps = [(sharding.topology(n, n0), sharding.topology(n + 1, n0), n) for n in range(1, 17) for n0 in ({n} if n != 9 else {8, 9})]
+    cols = [F.struct(sharding.shard_of(F.col("id"), old).alias("a"), sharding.shard_of(F.col("id"), new).alias("b")).alias(f"c{k}") for k, (old, new, _) in enumerate(steps)]
+    rows = df.select(*cols).collect()
+    for k, (_, _, n) in enumerate(steps):
+        moved = [x[k]["b"] for x in rows if x[k]["a"] != x[k]["b"]]
+        assert set(moved) == {n} and 0.5 * 1500 / (n + 1) < len(moved) < 1.7 * 1500 / (n + 1)
+
+
 def test_weights_confine_movement(spark):
     df = frame(spark, [(i, "") for i in range(3000)])
     before = sharding.topology(8)
