@@ -8,6 +8,7 @@ count row is scored for all of them, and (candidate, score, y) histograms come b
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,8 @@ class Arena:
 
     def __init__(self, df: DataFrame, features: list[str], part: Column, fitting: str = "fit", most_local: int = 200_000) -> None:
         self.features = features[:MAX_FEATURES]
+        if len(features) > MAX_FEATURES:
+            warnings.warn(f"a genome can name {MAX_FEATURES} features; left out: {', '.join(features[MAX_FEATURES:])}", stacklevel=2)
         rows = df.withColumn("_part", part)
         self.cuts = cuts(rows.where(F.col("_part") == fitting), self.features)
         code = lambda f: sum((F.coalesce(F.col(f), F.lit(float("-inf"))) > v).cast("int") for v in self.cuts[f]).cast("tinyint")

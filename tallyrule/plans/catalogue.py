@@ -453,11 +453,11 @@ def ensemble_lift(spark, sf_dir):
     return a.agg(F.max(F.when(F.col("worker") == "all", F.col("auc"))).alias("auc"), F.max(one).alias("best"), N.round_up(F.avg(one)).alias("mean"))
 
 
-@query("SELECT n_name AS domain, ((row_number() OVER (ORDER BY n_nationkey) - 1) % 7)::BIGINT AS address FROM nation")
+@query("SELECT n_name AS domain, ((row_number() OVER (ORDER BY n_nationkey) - 1) % 127)::BIGINT AS address FROM nation")
 def neuron_addresses(spark, sf_dir):
-    """Addresses in a small space (W11); a row a domain, so the window is bounded."""
+    """Addresses in the space of 127 (W11); a row a domain, so the window is bounded."""
     n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_nationkey")) - 1
-    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("domain"), (n % 7).cast("long").alias("address"))
+    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("domain"), (n % 127).cast("long").alias("address"))
 
 
 # ---- text and graphs ----------------------------------------------------------------------------------------------------
@@ -544,6 +544,18 @@ def fold_gate(spark, sf_dir):
     return textgraph.fold(read(spark, sf_dir, "documents").select("doc_id", "text"), counts, members, queries, "doc_id").select("cluster", "size", "bytes_in", "bytes_out", "kept", "why")
 
 
+@query(f"""{_DREAMS}, {_QS}, hd AS (SELECT DISTINCT q, cluster FROM qs JOIN documents ON contains(lower(coalesce(text, '')), q) JOIN mb USING (doc_id)), oc AS (SELECT q, min(cluster) AS cluster FROM hd GROUP BY 1 HAVING count(*) = 1),
+    ls AS (SELECT cluster, count(*) AS lost FROM oc JOIN dr USING (cluster) WHERE NOT contains(lower(dream), q) GROUP BY 1), bi AS (SELECT cluster, sum(length(coalesce(text, '')))::BIGINT AS bytes_in FROM documents JOIN mb USING (doc_id) GROUP BY 1),
+    folded AS (SELECT cluster, dream FROM dr JOIN bi USING (cluster) LEFT JOIN ls USING (cluster) WHERE coalesce(lost, 0) = 0 AND length(dream) < bytes_in)
+    SELECT 'dream-' || cluster AS id, dream AS text, true AS folded FROM folded UNION ALL SELECT doc_id::VARCHAR, coalesce(text, ''), false FROM documents JOIN mb USING (doc_id) WHERE cluster NOT IN (SELECT cluster FROM folded)""")
+def fold_journal(spark, sf_dir):
+    """What is left after folding: kept dreams and all other records as they are (U4)."""
+    counts, members = _clusters(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folds = textgraph.fold(docs, counts, members, textgraph.top_terms(counts, "doc_id").select("term"), "doc_id")
+    return textgraph.journal(docs, members, folds, "doc_id")
+
+
 @query("""WITH q AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{5,}')) AS q FROM benchmark WHERE regexp_extract(text, '[A-Za-z]{5,}') <> ''), f AS (SELECT q FROM q WHERE EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), q)))
     SELECT (SELECT count(*) FROM q) AS n, (SELECT count(*) FROM f) AS found, """ + r6("(SELECT count(*) FROM f)::DOUBLE / (SELECT count(*) FROM q)") + " AS recall")
 def recall_share(spark, sf_dir):
@@ -734,6 +746,18 @@ def arm_coverage(spark, sf_dir):
     return sealed.covers(e, "event_type", "user_id", e.select("user_id").distinct().count())
 
 
+@query("""WITH c AS (SELECT user_id, event_type, 'ask ' || user_id || ' ' || event_type AS prompt, value, event_id % 2 AS run FROM events),
+    n AS (SELECT user_id, event_type, run, count(*) AS attempts, min(sha256(prompt)) AS prompt_sha256, min(CASE WHEN value >= 20 THEN floor(value)::BIGINT::VARCHAR END) AS reply FROM c GROUP BY 1, 2, 3)
+    SELECT user_id, event_type, (coalesce(a.attempts, 0) + coalesce(b.attempts, 0))::BIGINT AS attempts, coalesce(a.prompt_sha256, b.prompt_sha256) AS prompt_sha256, coalesce(a.reply, b.reply) AS reply
+    FROM (SELECT * FROM n WHERE run = 0) a FULL JOIN (SELECT * FROM n WHERE run = 1) b USING (user_id, event_type)""")
+def reply_log(spark, sf_dir):
+    """A log of replies after two runs of calls: attempts, prompt hashes, and replies that stay."""
+    e = read(spark, sf_dir, "events")
+    calls = e.select("user_id", "event_type", F.concat_ws(" ", F.lit("ask"), "user_id", "event_type").alias("prompt"), F.when(F.col("value") >= 20, F.floor("value").cast("string")).alias("reply"), (F.col("event_id") % 2).alias("run"))
+    keys = ["user_id", "event_type"]
+    return tables.log_replies(calls.where("run = 1"), tables.log_replies(calls.where("run = 0"), None, keys), keys)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 3)")
 def open_replies(spark, sf_dir):
     """Prompts without a logged reply, where a stopped run goes on."""
@@ -768,6 +792,66 @@ def feature_set_keys(spark, sf_dir):
 CARDS = {"fraud": "3f14143ee50fb696b020", "maintenance": "9f385cc1cb8fa56ab602", "credit": "7ffb03f64de739e18a3d", "churn": "bf690c3ea5963114eb38", "energy": "1f9844318bb426348c0a", "intrusion": "ff74afd0500e0addd62d", "inventory": "bf29bb5122813014c735", "marketing": "3fdcb208ce83be9a2c2c"}
 
 
+_PUBLISHED = "('fraud', 0.768272, 0.8), ('maintenance', 0.781302, 0.904167), ('credit', 0.672461, 0.638889), ('churn', 0.795946, 0.723611), ('energy', 0.782707, 0.743056), ('intrusion', 0.756727, 0.702778), ('inventory', 0.820803, 0.759722), ('marketing', 0.645106, 0.615278)"
+
+
+@query(f"SELECT domain, held_auc::DOUBLE AS held_auc, held_acc::DOUBLE AS held_acc, 720::BIGINT AS held, true AS verified FROM (VALUES {_PUBLISHED}) t(domain, held_auc, held_acc)")
+def published_figures(spark, sf_dir):
+    """Held-out figures of the built-in domains' published cards, fitted and graded anew; the SQL states the published ones."""
+    return builtin_cards(spark, sf_dir).select("domain", "held_auc", "held_acc", "held", "verified")
+
+
+def _told_domain(spark: SparkSession, sf_dir: str, y) -> tuple[DataFrame, list[str]]:
+    """Parts as a domain of two features, odd (0 or 1) and retail, with the label given."""
+    p = read(spark, sf_dir, "part")
+    df = p.select(F.col("p_partkey").alias("row_id"), (F.col("p_size") % 2).cast("double").alias("odd"), F.col("p_retailprice").alias("retail"), y.cast("int").alias("y"), F.when(domains.held(F.col("p_partkey")), "held").otherwise("train").alias("split"))
+    return df, ["odd", "retail"]
+
+
+_SMALL = search.Effort(8, 2, 3)
+
+
+@query("SELECT * FROM (VALUES ('noise', false, NULL, NULL), ('signal', true, 1.0::DOUBLE, true)) t(domain, kept, held_auc, monotone)")
+def grown_library(spark, sf_dir):
+    """A library and its next tier over a domain that one rule tells exactly and one that none does.
+
+    The search must find the rule (AUC 1) and keep it in the next tier, and the gate must cut the other domain.
+    """
+    told = _told_domain(spark, sf_dir, F.col("p_size") % 2)
+    noise = _told_domain(spark, sf_dir, F.crc32(F.encode(F.concat(F.lit("y"), F.col("p_partkey").cast("string")), "UTF-8")) % 2)
+    first = search.build_library({"signal": told, "noise": noise}, effort=_SMALL)
+    second = search.grow_tier(first, {"signal": told}, _SMALL)
+    rows = [(n, n in first.patterns, first.patterns[n].held_auc if n in first.patterns else None, second.patterns[n].held_auc >= first.patterns[n].held_auc if n in first.patterns else None) for n in ("signal", "noise")]
+    return spark.createDataFrame(rows, "domain string, kept boolean, held_auc double, monotone boolean")
+
+
+@query("SELECT 'forge' AS search, 1.0::DOUBLE AS val_auc, 1.0::DOUBLE AS held_auc, 'two' AS dropped UNION ALL SELECT 'evolve', 1.0, 1.0, ''")
+def forged_and_evolved(spark, sf_dir):
+    """Proposals against bred cards with a member down, and evolved feature subsets, on a domain that one rule tells."""
+    df, features = _told_domain(spark, sf_dir, F.col("p_size") % 2)
+    out = search.forge(df, "signal", features, {"one": '[{"feature": "odd", "direction": "high"}]', "two": None}, effort=_SMALL)
+    best = search.evolve(df, "signal", features, generations=1, population=2, effort=_SMALL)
+    rows = [("forge", float(out["val_auc"]), out["pattern"].held_auc, ",".join(out["dropped"])), ("evolve", float(best["curve"][-1]), float(best["auc"]), "")]
+    return spark.createDataFrame(rows, "search string, val_auc double, held_auc double, dropped string")
+
+
+@query("SELECT 'p_size' AS feature, sum(p_size)::DOUBLE AS total, count(*) AS n, sum(CASE WHEN p_size > 40 THEN 1 ELSE 0 END)::BIGINT AS positives FROM part UNION ALL SELECT 'p_retailprice', sum(p_retailprice), count(*), sum(CASE WHEN p_size > 40 THEN 1 ELSE 0 END)::BIGINT FROM part".replace("sum(p_retailprice)", "floor(sum(p_retailprice) + 0.5)"))
+def csv_dataset(spark, sf_dir):
+    """A CSV folder read as a dataset: its numeric features and the rarer class of its last column."""
+    import uuid
+
+    path = f"{tables.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "part").select("p_size", "p_retailprice", F.when(F.col("p_size") > 40, "large").otherwise("small").alias("kind")).write.option("header", True).csv(path)
+    loaded = tables.from_csv(spark, path)
+    names = dict(zip(("p_size", "p_retailprice"), loaded.features, strict=True))
+    out = None
+    for name, column in names.items():
+        total = F.sum(column) if name == "p_size" else F.floor(F.sum(column) + 0.5)
+        part = loaded.df.agg(F.lit(name).alias("feature"), total.cast("double").alias("total"), F.count("*").alias("n"), F.sum("y").cast("long").alias("positives"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query()
 def builtin_cards(spark, sf_dir):
     """Cards of all eight generated domains, fitted and graded anew (S2-S4, G1, G5; held-out AUCs are pinned in the tests)."""
@@ -795,8 +879,7 @@ def stream_answer(spark, sf_dir):
     """Answers over a stream of event files, run until all is answered (stateless streaming)."""
     import uuid
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tallyrule-stream"
-    base = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("retail")).write.parquet(f"{base}/in")
     stream = answers.read_inputs(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
     answers.run_once(answers.answer_stream(stream, LIBRARY).select("p_partkey", "verdict", "route_domain", "route_score", "label"), f"{base}/out", f"{base}/log")
