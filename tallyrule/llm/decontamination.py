@@ -203,7 +203,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     n_seeds is the number of the item's words that occur near the passage with one of the two words after them.
     Test items are the query set; it meets all rows block by block, a block being at most most_words words. A passage found
     in any number of texts costs each only its own alignment, and nothing is shuffled. Items under least_words words
-    match where their words occur whole and in order; null or wordless items and null texts match nothing. Characters of scripts without
+    match where their words occur whole and in order; null or wordless items and null texts match nothing, and an item with a null id is
+    reported with it. Characters of scripts without
     spaces are words. An empty side gives no rows. Repeated rows or ids are reported for each row.
     """
     kinds = dict(df.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
@@ -221,7 +222,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     own = matches(items, words[cuts[k] : cuts[k + 1]], threshold)
                     at += [k] * len(own)
                     found += own
-                item_ids = pa.array([items.ids[f[0]] for f in found], pa.int64() if kinds[1] == "bigint" else None)
+                item_ids = pa.array([items.ids[f[0]] for f in found], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kinds[1]))
                 if found:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), item_ids, pa.array([f[1] for f in found]), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())], ["doc_id", "item_id", "score", "n_seeds", "end_word"])
 
@@ -231,7 +232,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, least_words: int = 5, most_words: int = 2_000_000) -> DataFrame:
-    """The rows, with all their columns, whose text matches no test item; decided in place, so nothing is shuffled or joined."""
+    """The rows, with all their columns, whose text matches no test item; decided in place, so nothing is shuffled or joined.
+
+    Null and empty texts match nothing and stay, as do all rows if there is no test item; null or wordless items match nothing. Repeated
+    rows and ids are judged each; an empty table gives an empty result. All columns pass through whatever their names.
+    """
     out = df
     for items in _blocks(benchmark, item_col, item_text_col, least_words, most_words, threshold):
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrule.llm.common import materialize
+from tallyrule.llm.common import materialize, tidy
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand in for letters.
 HOMOGLYPHS = dict(zip("авсԁеһіјкӏморԛѕтυѵԝхуαεικνορτυχɑıⅼ", "abcdehijklmopqstuvwxyaeiknoptuxail", strict=True))
@@ -91,19 +91,34 @@ class Matcher:
 
 
 def phrases(folded: str, at: int) -> list[str]:
-    """The word at a place with the word before it, and with the word after it."""
-    before, here = _WORD.findall(folded[max(0, at - 60) : at])[-1:], _WORD.findall(folded[at : at + 120])[:2]
-    return [" ".join(x) for x in (before + here[:1], here) if len(x) == 2]
+    """The word at a place with the word before it, and with the word after it, however far those are."""
+    here = _WORD.match(folded, at)
+    if here is None:
+        return []
+    after = _WORD.search(folded, here.end())
+    end = at
+    while end and not _letter(folded[end - 1]):
+        end -= 1
+    start = end
+    while start and _letter(folded[start - 1]):
+        start -= 1
+    return [" ".join(x) for x in ((folded[start:end], here[0]), (here[0], after[0] if after else "")) if all(x)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_terms: int = 4_000) -> Lexicon:
+def _letter(c: str) -> bool:
+    return _WORD.match(c) is not None
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_terms: int = 100_000) -> Lexicon:
     """Learn lexicon, exceptions and score from a bounded sample of labelled rows.
 
     The sample is the max_rows labelled ids with the smallest hash; that many rows (16 bytes each) are broadcast, so the
     corpus is not shuffled. Terms are words, and stems of 4 to 7 letters, seen in at least 5 toxic texts, with log-odds of at
-    least 2.5; a pattern whose stem is already there is left out. At most max_terms come to the driver. Exceptions are
-    pairs of a lexicon word and its neighbour that are seen in at least 3 texts, under a tenth of them toxic.
-    The score is a logistic fit on the two length-aware features. Null labels and ids teach nothing; without labels the lexicon is empty.
+    least 2.5; a pattern whose stem is already there is left out. At most max_terms come to the driver, the weightiest first; that bounds
+    the model as max_rows bounds the sample, and the sample reaches it only if its texts are mostly of words found in toxic ones.
+    Exceptions are pairs of a lexicon word and its neighbour that are seen in at least 3 texts, under a tenth of them toxic.
+    The score is a logistic fit on the two length-aware features. Null labels and ids teach nothing, an id labelled or standing
+    twice teaches twice, ties in the hash go by id; without labels of both kinds the lexicon is empty and all scores are low.
     """
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -113,13 +128,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b.column("_text"), b.column("_y").to_pylist(), strict=True):
-                words = {w for w in _WORD.findall(fold(text.as_py())) if 3 <= len(w) <= 40}
+                words = {w for w in _WORD.findall(fold(text.as_py())) if len(w) >= 3}
                 own = words | {f"{w[:k]}*" for w in words for k in range(STEM, min(len(w), 7) + 1)} | {""}
                 seen[y > 0].update(own)
         keys = list(seen[0] | seen[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["term", "toxic", "clean"])
 
-    counts = rows.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(tidy(terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = rows.agg(F.sum((F.col("_y") > 0).cast("int")).alias("t"), F.count("*").alias("n")).first()
     t, c = totals["t"] or 0, totals["n"] - (totals["t"] or 0)
     if not t or not c:
@@ -146,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ys += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ys, pa.int32())], ["pair", "y"])
 
-    harmless = rows.mapInArrow(pairs, "pair string, y int").groupBy("pair").agg(F.count("*").alias("n"), F.avg("y").alias("y")).where("n >= 3 AND y < 0.1").orderBy(F.desc("n"), "pair").limit(max_terms)
+    harmless = rows.mapInArrow(tidy(pairs), "pair string, y int").groupBy("pair").agg(F.count("*").alias("n"), F.avg("y").alias("y")).where("n >= 3 AND y < 0.1").orderBy(F.desc("n"), "pair").limit(max_terms)
     bare = Lexicon(weights, frozenset(x.pair for x in harmless.collect()), 0.0, (0.0, 0.0))
 
     def points(batches) -> Iterator[pa.RecordBatch]:
@@ -157,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         cols = list(zip(*seen, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in cols), pa.array(list(seen.values()), pa.int64())], ["a", "b", "y", "n"])
 
-    grid = rows.mapInArrow(points, "a int, b int, y int, n long").groupBy("a", "b", "y").agg(F.sum("n").alias("n")).toPandas()  # at most some hundred cells
+    grid = rows.mapInArrow(tidy(points), "a int, b int, y int, n long").groupBy("a", "b", "y").agg(F.sum("n").alias("n")).toPandas()  # at most some hundred cells
     x = np.column_stack([np.ones(len(grid)), grid["a"] / 8, grid["b"] / 8])
     y, n, beta = grid["y"].to_numpy(float), grid["n"].to_numpy(float), np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
@@ -170,7 +185,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def predict(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text; a null text scores as an empty one. Only id and text are read."""
+    """(doc_id, score, predicted) of every whole text; a null text scores as an empty one.
+
+    Rows are judged alone, so repeated and null ids do no harm; an empty table gives an empty result; only id and text are read.
+    """
     kind = dict(df.dtypes)[id_col]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -179,7 +197,7 @@ def predict(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             scores = np.array([match.score(text.as_py()) for text in b.column("_text")], float)
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id"):

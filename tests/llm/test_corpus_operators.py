@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrule.llm import bpe, common, decontamination, exact_dedup, html_extract, language_id, near_dedup, secrets, sharding, suffix_dedup, toxicity
+from tallyrule.llm import bpe, common, decontamination, exact_dedup, html_extract, language_id, near_dedup, registry, secrets, sharding, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, _text string, _id long, n int, uid binary, kept boolean"
 
@@ -232,6 +232,38 @@ def test_language(spark):
     assert language_id.predict(frame(spark, EDGE), p).count() == len(EDGE)
 
 
+def test_language_equals_brute_force(spark):
+    r = random.Random(3)
+    vocab = {"aa": ["tahu", "mika", "lote", "été"], "bb": ["strch", "brzk", "vlkn", "été"], "cc": ["oma", "ila", "uru", "lote"]}
+    rows = [(i, " ".join(r.choice(vocab[g]) for _ in range(r.randrange(1, 15))) + "! 7", g) for i in range(45) for g in ["abc"[i % 3] * 2]]
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, lang string")
+    dim, seed = 256, 11
+    letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (language_id.CLASSES, dim))
+    classes = language_id.letter_classes()
+
+    def bundle(text):
+        symbols = [0]
+        for c in text.lower():
+            k = int(classes[ord(c)])
+            if k or symbols[-1]:
+                symbols.append(k)
+        symbols += [0]
+        grams = collections.Counter(zip(symbols, symbols[1:], symbols[2:], strict=False))
+        return grams, sum(n * np.roll(letters[a], 2).astype(float) * np.roll(letters[b], 1) * letters[c] for (a, b, c), n in grams.items())
+
+    protos = collections.defaultdict(lambda: np.zeros(dim))
+    for _, text, lang in [*rows, *rows[:5]]:
+        grams, vector = bundle(text)
+        protos[lang] += vector / sum(n * n for n in grams.values()) ** 0.5
+    names = sorted(protos)
+    got = {x["doc_id"]: x for x in language_id.predict(df, language_id.learn(df, dim=dim, seed=seed)).collect()}
+    for i, text, _ in rows:
+        v = bundle(text)[1]
+        cosine = np.array([v @ protos[g] / np.linalg.norm(v) / np.linalg.norm(protos[g]) for g in names])
+        odds = np.exp(20 * (cosine - cosine.max()))
+        assert got[i]["lang_pred"] == names[int(cosine.argmax())] and abs(got[i]["score"] - 1 / odds.sum()) < 1e-3
+
+
 def test_held_out_accuracy(spark, data):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -492,6 +524,33 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df, items.where("false")).count() == 0 and decontamination.contaminated(df.where("false"), items).count() == 0
 
 
+def test_op8_equals_aligning_all_pairs(spark, tmp_path):
+    r = random.Random(31)
+    items = [(100 + i, words(r.randrange(16, 60), 3000 + i, 4000)) for i in range(24)] + [(900, None), (901, "")]
+    docs, planted = [], 0
+    for k in range(60):
+        text = words(r.randrange(30, 200), 4000 + k, 4000).split()
+        if k % 2:
+            _, item = items[k % 24]
+            edited = [w for w in item.split() for w in ([w] if r.random() > 0.1 + 0.2 * (k % 4 == 3) else r.choice([[], ["new"], [w, "more"]]))]
+            text[20:20] = edited
+            planted += 1
+        docs.append((k, " ".join(text)))
+    docs += [(500, None), (501, "")]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.op8_decontamination(spark, str(tmp_path)).collect()}
+    hashed = lambda t: near_dedup.word_hashes([decontamination.spaced(t)], decontamination._GAPS)[1]
+    want = {}
+    for d, t in docs:
+        for i, u in items:
+            if t and u and (score := decontamination.align(hashed(u), hashed(t))[0] / (2 * len(hashed(u)))) >= 0.5:
+                want[d, i] = score
+    assert got == want
+    found = [(k, items[k % 24][0]) in got for k in range(1, 60, 2)]
+    assert planted == 30 and all(found[::2]) and sum(found[1::2]) >= 14  # of those edited at every third word one scores 0.489
+
+
 def test_templated_and_edited_items_are_found(spark):
     stem = "which of the following numbers is the value of this expression given as"
     rows = [(i, f"{stem} x{i}") for i in range(300)] + [(900, words(11, 71, 5000))]
@@ -564,6 +623,35 @@ def test_toxicity(spark):
     assert toxicity.predict(frame(spark, EDGE), toxicity.learn(frame(spark, docs), lab.where("false"))).count() == len(EDGE)
 
 
+def test_matcher_equals_brute_force():
+    r = random.Random(17)
+    lexicon = toxicity.Lexicon({"dim*": 2.0, "dimwit": 5.0, "nit": 1.0, "nitwit*": 3.0, "oaf": 4.0}, frozenset(["garden dimwit", "oaf statue"]), 0.0, (0.0, 0.0))
+    vocab = ["dim", "dimwit", "dimwits", "dimmer", "nit", "nits", "nitwit", "nitwits", "oaf", "loaf", "garden", "statue", "x" * 90, "1", "--" * 50]
+
+    def plain(text):
+        places = [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]+", text)]
+        total = 0.0
+        for k, (_, w) in enumerate(places):
+            fits = [(len(p.rstrip("*")), p[-1] != "*", v) for p, v in lexicon.weights.items() if w == p or p[-1] == "*" and w.startswith(p[:-1])]
+            near = {f"{places[k - 1][1]} {w}"} if k else set()
+            near |= {f"{w} {places[k + 1][1]}"} if k + 1 < len(places) else set()
+            total += max(fits)[2] if fits and not near & lexicon.exceptions else 0
+        return total
+
+    match = toxicity.Matcher(lexicon)
+    for _ in range(400):
+        text = r.choice([" ", ", ", "\n"]).join(r.choice(vocab) for _ in range(r.randrange(0, 25)))
+        assert match(text) == plain(text)
+    assert match.score(" ".join(vocab) * 3000) > 0  # a long text
+
+
+def test_op9_on_held_out_rows(spark):
+    where = "/root/testdata/sf0.01"
+    got = toxicity.op9_toxicity(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").select("predicted", "toxic").collect()
+    hits = sum(x["predicted"] == x["toxic"] == 1 for x in got)
+    assert hits >= 0.9 * sum(x["predicted"] for x in got) and hits >= 0.8 * sum(x["toxic"] for x in got)
+
+
 def test_folding():
     assert toxicity.fold("1D10T сlоwn $cum m0r0n 50 a1 b") == "idiot clown scum moron 50 a1 b"
 
@@ -660,6 +748,34 @@ def test_shared_texts_go_only_where_no_root_is(spark):
     assert all(got[400 + i] == f"{i}{long}" for i in range(1, 5)) and got[400].endswith(f"0{long}")
 
 
+# ---- queries against their SQL -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_matches_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    found = con.execute(registry.SQL[name])
+    cols = [c[0] for c in found.description]
+    want = sorted(str(dict(sorted(zip(cols, row, strict=True)))) for row in found.fetchall())
+    got = registry.QUERIES[name](spark, data).collect()
+    assert sorted(str(dict(sorted(x.asDict().items()))) for x in got) == want
+
+
+def test_op3_equals_library(spark, data):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    got = by_id(bpe.op3_bpe(spark, data))
+    for x in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = tok.encode(x["text"] or "", add_special_tokens=False).ids
+        decoded = tok.decode(ids, skip_special_tokens=False)
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert tuple(got[x["doc_id"]]) == (x["doc_id"], len(ids), digest(" ".join(map(str, ids))), digest(decoded))
+
+
 # ---- empty tables -------------------------------------------------------------------------------------------------------
 
 
