@@ -24,6 +24,12 @@ def round_up(x: Column, places: int = 6) -> Column:
     return F.when(finite(x), F.floor(x * scale + F.lit(0.5)) / scale).otherwise(F.lit(0.0))
 
 
+def round_finite(x: Column, places: int = 6) -> Column:
+    """round_up of a value that is known to be finite (null stays null): the value is named once, so nested roundings do not multiply the plan."""
+    scale = F.lit(float(10**places))
+    return F.floor(x * scale + F.lit(0.5)) / scale
+
+
 def round_up_py(x: float, places: int = 6) -> float:
     return math.floor(x * 10**places + 0.5) / 10**places if math.isfinite(x) else 0.0
 
@@ -88,8 +94,8 @@ def seed_number(name: str) -> int:
 def membership(x: Column, q1: Column, q3: Column, lo: Column, hi: Column) -> Column:
     """1 inside the quartiles, decaying with the distance outside; 0 for what is not finite or has no fingerprint."""
     span = F.greatest(q3 - q1, (hi - lo) * 0.5, F.lit(1e-9))
-    away = F.when(x < q1, q1 - x).otherwise(x - q3)
-    return F.when(~finite(x) | q1.isNull(), 0.0).when((x >= q1) & (x <= q3), 1.0).otherwise(round_up(F.exp(-away / span)))
+    away = F.greatest(q1 - x, x - q3, F.lit(0.0))
+    return F.when(~finite(x) | q1.isNull(), 0.0).otherwise(round_finite(F.exp(-away / span)))
 
 
 def confidence(score: Column, threshold: Column, spread: Column) -> Column:

@@ -11,15 +11,19 @@ STOP_WORDS = (
     "predicted that never saw and to of in for pattern book predicts data realistic synthetic from known generated this position holds view states "
     "argues doctrine claim it maintained with a an on by be are was"
 ).split()
-TERM = r"([a-z][a-z0-9_]{2,})"
+TERM = r"([a-z][a-z0-9_]{3,})"
 # Decimals shown for each feature of a shop session.
 PLACES = {"Administrative": 0, "Administrative_Duration": 1, "Informational": 0, "Informational_Duration": 1, "ProductRelated": 0, "ProductRelated_Duration": 1, "BounceRates": 4, "ExitRates": 4, "PageValues": 2, "SpecialDay": 1}
 
 
+def term_runs(text: Column) -> Column:
+    """The lower-case words of at least four characters of a text in order, stop words included."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(1))
+
+
 def terms(text: Column) -> Column:
     """The terms of a text in order: lower-case words of at least four characters that are no stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(1))
-    return F.filter(found, lambda t: (F.length(t) >= 4) & ~t.isin(STOP_WORDS))
+    return F.filter(term_runs(text), lambda t: ~t.isin(STOP_WORDS))
 
 
 def count_marker(text: Column, marker: str) -> Column:
@@ -59,14 +63,20 @@ def json_number(x: Column) -> Column:
     return F.when(x.isNull(), "null").when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """A flat JSON object with its keys in the given order; values are ready JSON text."""
-    parts: list[Column] = []
-    for i, (k, v) in enumerate(fields.items()):
-        parts += [F.lit(("{" if i == 0 else ",") + f'"{k}":'), v]
+def canonical_json(fields: dict[str, Column], opening: Column | None = None) -> Column:
+    """A flat JSON object with its keys in the given order; values are ready JSON text. An opening (json_opening) comes before the fields."""
+    parts: list[Column] = [] if opening is None else [opening]
+    for k, v in fields.items():
+        parts += [F.lit(("," if parts else "{") + f'"{k}":'), v]
     return F.concat(*parts, F.lit("}"))
 
 
+def json_opening(fields: dict[str, Column]) -> Column:
+    """The same object without its closing brace."""
+    whole = canonical_json(fields)
+    return F.substring(whole, F.lit(1), F.length(whole) - 1)
+
+
 def json_string(x: Column) -> Column:
     """A JSON string of plain text (quotes and backslashes escaped)."""
     return F.when(x.isNull(), "null").otherwise(F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))

@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrule.functions.numeric import confidence, finite, membership, round_up
-from tallyrule.functions.text import canonical_json, digest, json_number, json_string
+from tallyrule.functions.numeric import confidence, finite, membership, round_finite, round_up
+from tallyrule.functions.text import canonical_json, digest, json_number, json_opening, json_string
 from tallyrule.operators.scorecard import Rule, score
 
 GATE_AUC, ROUTE_MIN = 0.60, 0.35
@@ -39,74 +39,95 @@ class Pattern:
 
 def route_score(p: Pattern) -> Column:
     """The mean membership of an input's features; 0 unless all of them are there."""
-    parts = []
+    total, full = F.lit(0.0), F.lit(True)
     for f in p.features:
         lo, q1, _, q3, hi = p.prints[f]
-        parts.append(membership(F.col(f).cast("double"), F.lit(q1), F.lit(q3), F.lit(lo), F.lit(hi)))
-    full = F.lit(True)
-    for f in p.features:
-        full = full & finite(F.col(f).cast("double"))
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
-    return round_up(F.when(full, total / len(parts)).otherwise(0.0))
+        x = F.col(f).cast("double")
+        total, full = total + membership(x, F.lit(q1), F.lit(q3), F.lit(lo), F.lit(hi)), full & finite(x)
+    return F.when(full, round_finite(total / len(p.features))).otherwise(0.0)
 
 
 def _known(df: DataFrame, p: Pattern) -> bool:
     return all(f in df.columns for f in p.features)
 
 
-def ranked(df: DataFrame, library: list[Pattern]) -> Column:
-    """The library as an array of (rank key, domain, route score), best first; ties by domain.
-
-    The library is part of the plan, so each row ranks it in place: no join, no shuffle.
-    """
-    entries = [F.struct((-(route_score(p) if _known(df, p) else F.lit(0.0))).alias("key"), F.lit(p.domain).alias("domain"), F.lit(i).alias("at")) for i, p in enumerate(library)]
-    return F.array_sort(F.array(*entries))
+def _in_order(library: list[Pattern]) -> list[Pattern]:
+    """The library by domain: of equally good patterns the first one wins."""
+    return sorted(library, key=lambda p: p.domain)
 
 
 def route(df: DataFrame, library: list[Pattern]) -> DataFrame:
-    """The inputs with route_domain and route_score of the best pattern (null and 0 for an empty library)."""
+    """The inputs with route_domain and route_score of the best pattern (null and 0 for an empty library).
+
+    The library is part of the plan, so each row ranks it in place: no join, no shuffle. The best is a maximum of (route score,
+    order), inside generated code. `_at` is its place in the library by domain.
+    """
     if not library:
-        return df.withColumns({"route_domain": F.lit(None).cast("string"), "route_score": F.lit(0.0), "_at": F.lit(-1)})
-    return df.withColumn("_best", ranked(df, library)[0]).withColumns({"route_domain": F.col("_best.domain"), "route_score": -F.col("_best.key") + 0.0, "_at": F.col("_best.at")}).drop("_best")
+        return df.withColumns({"route_domain": F.lit(None).cast("string"), "route_score": F.lit(0.0), "_at": F.lit(None).cast("int")})
+    library = _in_order(library)
+    fits = [F.struct((route_score(p) if _known(df, p) else F.lit(0.0)).alias("fit"), F.lit(-i).alias("order")) for i, p in enumerate(library)]
+    out = df.withColumn("_best", F.greatest(*fits) if len(fits) > 1 else fits[0])
+    out = out.withColumns({"route_score": F.col("_best.fit"), "_at": -F.col("_best.order")}).drop("_best")
+    return out.withColumn("route_domain", F.array(*[F.lit(p.domain) for p in library])[F.col("_at")])
+
+
+def _facts(df: DataFrame, library: list[Pattern]) -> Column:
+    """What answers and receipts state of each pattern, as one array of constants."""
+    return F.array(*[
+        F.struct(F.lit(p.verified and _known(df, p)).alias("verified"), F.lit(float(p.threshold)).alias("threshold"), F.lit(float(p.spread)).alias("spread"), receipt_opening(p).alias("opening"))
+        for p in library
+    ])
+
+
+def small_methods(df: DataFrame) -> None:
+    """Lets stages whose generated method is over 8,000 bytes run as split projections, unless the session sets a limit itself.
+
+    The JVM never compiles larger methods: fused into one, the expressions of a library ran three times slower.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def answer(df: DataFrame, library: list[Pattern], floor: float = ROUTE_MIN) -> DataFrame:
     """The inputs with verdict, route_domain, route_score, score, label, confidence, why and receipt hash.
 
     An input is answered by the best pattern if that one covers it (score at least floor) and is verified; else it abstains.
-    Stateless and row by row, so it runs on streams as it is.
+    Stateless and row by row, so it runs on streams as it is. The best pattern's constants are taken once from an array, so the
+    plan grows with the library, not with the library times the results.
     """
+    small_methods(df)
+    library = _in_order(library)
     out = route(df, library)
-
-    def pick(value) -> Column:
-        c = F.lit(None)
-        for i, p in enumerate(library):
-            if _known(df, p):
-                c = F.when(F.col("_at") == i, value(p)).otherwise(c)
-        return c
-
-    why = F.when(F.col("route_domain").isNull(), "no features to route on").when(F.col("route_score") < floor, "out of distribution").when(~F.coalesce(pick(lambda p: F.lit(p.verified)), F.lit(False)), "no verified pattern")
+    fact = (lambda name: _facts(df, library)[F.col("_at")][name]) if library else (lambda name: F.lit(None))
+    why = F.when(F.col("route_domain").isNull(), "no features to route on").when(F.col("route_score") < floor, "out of distribution").when(~F.coalesce(fact("verified"), F.lit(False)), "no verified pattern")
     out = out.withColumn("why", why)
     ok = F.col("why").isNull()
-    out = out.withColumn("score", F.when(ok, pick(lambda p: score(p.rules))).cast("double"))
-    threshold, spread = pick(lambda p: F.lit(p.threshold)), pick(lambda p: F.lit(p.spread))
-    out = out.withColumns({"threshold": F.when(ok, threshold).cast("double"), "confidence": F.when(ok, confidence(F.col("score"), threshold, spread)).cast("double")})
+    points = F.lit(None)
+    for i, p in enumerate(library):
+        if _known(df, p):
+            points = F.when(F.col("_at") == i, score(p.rules)).otherwise(points)
+    out = out.withColumn("score", F.when(ok, points).cast("double"))
+    out = out.withColumns({"threshold": F.when(ok, fact("threshold")).cast("double"), "confidence": F.when(ok, confidence(F.col("score"), fact("threshold"), fact("spread"))).cast("double")})
     out = out.withColumn("label", F.when(ok, (F.col("score") > F.col("threshold")).cast("int")))
     out = out.withColumn("verdict", F.when(ok, "VERIFIED").otherwise("ABSTAIN"))
-    out = out.withColumn("receipt", F.when(ok, receipt_core(pick)))
+    out = out.withColumn("receipt", F.when(ok, receipt_core(fact("opening"))))
     return out.withColumn("receipt_hash", digest(F.col("receipt"))).drop("_at")
 
 
-def receipt_core(pick) -> Column:
+def receipt_opening(p: Pattern) -> Column:
+    """The part of a receipt's JSON that the pattern decides: a constant."""
+    num = lambda x: json_number(F.lit(float(x)))
+    return json_opening({
+        "model": F.lit(f'"{MODEL}"'), "domain": json_string(F.lit(p.domain)), "patternId": json_string(F.lit(p.pattern_id)), "heldAuc": num(p.held_auc), "heldAcc": num(p.held_acc), "held": num(p.held), "gateAuc": F.lit(repr(GATE_AUC)),
+    })
+
+
+def receipt_core(opening: Column) -> Column:
     """The receipt's JSON, keys in fixed order, numbers in their shortest form."""
-    num = lambda get: json_number(pick(lambda p: F.lit(float(get(p)))).cast("double"))
-    text = lambda get: json_string(pick(lambda p: F.lit(get(p))))
     return canonical_json({
-        "model": F.lit(f'"{MODEL}"'), "domain": text(lambda p: p.domain), "patternId": text(lambda p: p.pattern_id), "heldAuc": num(lambda p: p.held_auc), "heldAcc": num(lambda p: p.held_acc), "held": num(lambda p: p.held),
-        "gateAuc": F.lit(repr(GATE_AUC)), "routeScore": json_number(F.col("route_score")), "score": json_number(F.col("score")), "threshold": json_number(F.col("threshold")), "label": F.col("label").cast("string"), "verdict": F.lit('"VERIFIED"'),
-    })
+        "routeScore": json_number(F.col("route_score")), "score": json_number(F.col("score")), "threshold": json_number(F.col("threshold")), "label": F.col("label").cast("string"), "verdict": F.lit('"VERIFIED"'),
+    }, opening)
 
 
 def verify(df: DataFrame, receipt: str = "receipt", claimed: str = "receipt_hash") -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrule.functions.numeric import Stream, finite, round_up, round_up_py
+from tallyrule.functions.numeric import Stream, finite, round_finite, round_up, round_up_py
 
 MAX_RULES, MAX_FEATURES = 6, 16
 #: The weights a rule can have, and the number of training quantiles (k+1)/16 it can cut at.
@@ -125,7 +125,7 @@ def score(rules: tuple[Rule, ...]) -> Column:
     out = F.lit(0.0)
     for r in rules:
         out = out + F.when(r.fires(), F.lit(float(r.w))).otherwise(F.lit(0.0))
-    return round_up(out)
+    return round_finite(out)
 
 
 def score_map(rules: Column, values: Column) -> Column:
