@@ -731,12 +731,14 @@ def sealed_prompts(spark, sf_dir):
     return _prompts(spark, sf_dir).withColumn("prompt_sha256", T.digest(F.col("prompt")))
 
 
-@query("SELECT event_id % 11 <> 0 AS sealed, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'missing' WHEN event_id % 11 = 0 THEN 'changed' ELSE 'sealed' END AS state, count(*) AS n FROM events GROUP BY 1")
 def check_prompts(spark, sf_dir):
-    """Logged calls whose prompt was not the sealed one."""
+    """Calls of every event: the sealed prompt, a changed one, or none logged."""
     made = _prompts(spark, sf_dir)
-    log = made.where("event_id % 3 <> 0").select("event_id", F.when(F.col("event_id") % 11 == 0, "changed").otherwise(T.digest(F.col("prompt"))).alias("prompt_sha256"))
-    return sealed.check_prompts(log, made, ["event_id"]).groupBy("sealed").agg(F.count("*").alias("n"))
+    logged = F.when(F.col("event_id") % 3 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, "changed").otherwise(T.digest(F.col("prompt")))
+    calls = sealed.check_prompts(made.select("event_id", logged.alias("prompt_sha256")), made, ["event_id"])
+    state = F.when(F.col("prompt_sha256").isNull(), "missing").when(F.col("sealed"), "sealed").otherwise("changed")
+    return calls.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) = (SELECT count(DISTINCT user_id) FROM events) AS covers FROM events GROUP BY 1")
