@@ -203,3 +203,18 @@ def test_hostile_inputs_never_fail(spark, value):
     df = spark.createDataFrame([(value,)], "a double")
     row = routing.answer(df, [PATTERN]).first()
     assert row["verdict"] in ("VERIFIED", "ABSTAIN") and 0.0 <= row["route_score"] <= 1.0
+
+
+def test_order_statistics_of_values_of_any_size(spark):
+    values = [0.0, -0.0, 1e-310, -1e-310, 5e-301, -3.5, -8.0, -7.999999999999999, 7.999999999999999, 8.0, 8.000000000000002, 1e300, -1e300, 2.0**-1000, 3.0, 3.0, 3.0, 0.1, -0.1]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "a double")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r["p"]: r["value"] for r in profile.order_statistics(rows, ["a"], ps).collect()}
+    assert got == {p: sorted(values)[math.floor(p * (len(values) - 1))] for p in ps}
+
+
+def test_ranks_run_over_blocks_of_ranges(spark):
+    keys = list(range(-50, 200, 3)) + [10_000, 10_001]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r["k"]: r["_rank"] for r in splitting._ranked(df, "k", width=4).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
