@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ from tallyrule.llm.common import INV, materialize, mix, powers, prefix_hash, tid
 from tallyrule.llm.near_dedup import batches_of_texts
 
 SEED = 32
+#: Surroundings compared at once. Leads with more are cut into pieces, whose results are compared across their boundaries.
+PIECE = 1024
+#: Distances a cell of windows spans when pieces are compared with each other, round by round; single windows need no further one.
+CELLS = (25, 5, 1)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,8 +147,8 @@ def _agree(words: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray,
     return order, np.minimum(lcp, size)
 
 
-def compare(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray, many: np.ndarray, length: int) -> list[bytes]:
-    """For each surrounding, a bit for each of its windows: whether the window's bytes also occur in another one.
+def compare(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each surrounding and distance: whether the window's bytes also occur in another one, and whether it is the first of a class that does.
 
     left: the bytes before the anchor, nearest first; right: from the anchor on. low, high: how far before the anchor windows start.
     Surroundings are sorted once by what follows and once by what precedes; at each distance o, windows are equal if they lie
@@ -156,46 +161,94 @@ def compare(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.nd
     r_order, r_lcp = _agree(np.concatenate([g, r_words], axis=1), np.concatenate([group.astype(">u8").view(np.uint8).reshape(m, 8), r_bytes], axis=1), length + 8)
     l_order, l_lcp = _agree(np.concatenate([g, l_words], axis=1), np.concatenate([group.astype(">u8").view(np.uint8).reshape(m, 8), l_bytes], axis=1), reach + 8)
     r_run, l_run = np.empty(m, np.int64), np.empty(m, np.int64)
-    out = np.zeros((m, reach + 1), bool)
+    out, first = np.zeros((m, reach + 1), bool), np.zeros((m, reach + 1), bool)
     for o in range(int(low.min()), int(high.max()) + 1):
         on = (low <= o) & (o <= high)
         if on.sum() < 2:
-            out[on, o] = many[on]
+            out[on, o] = first[on, o] = many[on]
             continue
         r_run[r_order] = np.cumsum(r_lcp < length - o + 8)
         l_run[l_order] = np.cumsum(l_lcp < o + 8)
         at = np.flatnonzero(on)
         key = r_run[at] * (m + 1) + l_run[at]
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        _, head, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         out[at, o] = (count[back] > 1) | many[at]
-    return [np.packbits(x).tobytes() for x in out]
+        first[at[head], o] = out[at[head], o]
+    return out, first
 
 
-def _compare_rows(length: int, most: int = 4096):
-    """Sorted buckets of suffixes, one run of equal leading tokens (or several short ones) at a time."""
+def stretches(mask: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, last column) of the runs of a mask, cut at each multiple of step."""
+    column = np.arange(mask.shape[1])
+    before, after = np.zeros_like(mask), np.zeros_like(mask)
+    before[:, 1:], after[:, :-1] = mask[:, :-1], mask[:, 1:]
+    row, start = np.nonzero(mask & (~before | (column % step == 0)))
+    return row, start, np.nonzero(mask & (~after | (column % step == step - 1)))[1]
 
-    def run(batches):
-        held: list[tuple] = []
 
-        def flush(rows):
-            ids = np.unique(np.array([r[0] for r in rows], dtype=object).astype("S"), return_inverse=True)[1] if rows else np.zeros(0)
-            bits = compare(np.asarray(ids, np.uint64), [r[4][: r[5]][::-1] for r in rows], [r[4][r[5] :] for r in rows], np.array([r[6] for r in rows]), np.array([r[7] for r in rows]), np.array([r[8] for r in rows], bool), length)
-            return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), pa.array(bits, pa.binary())], ["seed", "c1", "c2", "bits"])
+#: What _compare_rows gives: bits of a surrounding's windows, or (lead is not null) windows to compare with those of other pieces.
+COMPARED = pa.schema(
+    [("seed", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("lead", pa.binary()), ("bytes", pa.binary()), ("o", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("many", pa.bool_())]
+)
 
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("lead", "seed", "c1", "c2", "bytes", "o", "low", "high", "many")]
-            for row in zip(*cols, strict=True):
-                row = (row[0].hex(), *row[1:])
-                if len(held) >= most and row[0] != held[-1][0]:
-                    yield flush(held)
-                    held = []
-                held.append(row)
+
+def _compare_rows(length: int, step: int, most: int = PIECE):
+    """Sorted buckets of suffixes, one run of equal leading tokens (or several short ones, or a piece of a long one) at a time.
+
+    Of a lead in pieces these go on, to be compared across the pieces' boundaries: windows without an equal one in their piece, and one
+    of each class of equal windows. Their new leads are longer: all that the windows of one cell of `step` distances have in common.
+    """
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = np.unique(np.array([r[0].hex() for r in rows], "S"), return_inverse=True)[1].astype(np.uint64)
+        low, high, many = (np.array([r[k] for r in rows]) for k in (7, 8, 9))
+        out, first = compare(ids, [r[5][: r[6]][::-1] for r in rows], [r[5][r[6] :] for r in rows], low, high, many.astype(bool), length)
+        hit = np.flatnonzero(out.any(axis=1)).tolist()
+        found = [[rows[i][k] for i in hit] for k in (2, 3, 4)] + [[np.packbits(out[i]).tobytes() for i in hit]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*found, *[[None] * len(hit)] * 6], COMPARED.types, strict=True)], schema=COMPARED)
+        cut = np.array([r[10] for r in rows], bool)
+        if not step or not cut.any():
+            return
+        distance = np.arange(length - SEED + 1)
+        alone = (low[:, None] <= distance) & (distance <= high[:, None]) & ~out & cut[:, None]
+        for mask, known in ((alone, False), (first & cut[:, None], True)):
+            for i, a, b in zip(*(x.tolist() for x in stretches(mask, step)), strict=True):
+                held.append(_onward(rows[i], a, b, known, length, step))
+                if len(held) >= 4096:
+                    yield onward()
         if held:
-            yield flush(held)
+            yield onward()
+
+    held: list[tuple] = []
+
+    def onward() -> pa.RecordBatch:
+        cols = list(zip(*held, strict=True))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, COMPARED.types, strict=True)], schema=COMPARED)
+
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "piece", "seed", "c1", "c2", "bytes", "o", "low", "high", "many", "cut")), strict=True):
+                if len(rows) >= most and row[:2] != rows[-1][:2]:
+                    yield from flush(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from flush(rows)
 
     return run
 
 
+def _onward(row: tuple, low: int, high: int, known: bool, length: int, step: int) -> tuple:
+    """A row for the windows that start low to high before the anchor, with the lead of their cell and no other bytes."""
+    _, _, seed, c1, c2, data, o = row[:7]
+    near = low - low % step
+    far = min(near + step - 1, length - SEED)
+    lead = bytes((near,)) + data[o : o + length - far] + data[o - near : o][::-1]
+    return seed, c1, c2, None, lead, data[o - high : o + length - low], high, low, high, known
+
+
 def _fetch(length: int):
     """From texts with the places of surroundings to compare: the bytes of each."""
 
@@ -207,10 +260,10 @@ def _fetch(length: int):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for x in wants[i]:
                     a, w, o = place(x["at"])
-                    out.append((x["seed"], x["c1"], x["c2"], raw[a : a + w + length], o, w, x["many"]))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["seed", "c1", "c2", "bytes", "o", "w", "many"])
+                    out.append((x["seed"], x["c1"], x["c2"], raw[a : a + w + length], o, w, x["many"], x["pieces"]))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["seed", "c1", "c2", "bytes", "o", "w", "many", "pieces"])
 
     return run
 
@@ -246,7 +299,33 @@ def _remove(length: int, texts: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, texts: bool = True) -> DataFrame:
+def _compared(buckets: DataFrame, length: int, piece: int) -> DataFrame:
+    """(seed, c1, c2, bits) of surroundings in buckets by lead; `pieces` says into how many pieces their lead is cut.
+
+    Each round sorts and compares within pieces, then across: what goes on is grouped by longer leads, and cut again where these are still
+    frequent. The last round's leads are whole windows, of which each piece of the round before sends one.
+    """
+    fixed = "seed long, c1 long, c2 long, bits binary, lead binary, bytes binary, o int, low int, high int, many boolean"
+    parts = []
+    for step in (*CELLS, 0):
+        cut = buckets.withColumn("piece", F.pmod(F.xxhash64("seed", "c1", "c2"), F.col("pieces")).cast("int")).withColumn("cut", F.col("pieces") > 1)
+        cut = cut.repartitionByRange("lead", "piece").sortWithinPartitions("lead", "piece")
+        cut = cut.select("lead", "piece", "seed", "c1", "c2", "bytes", "o", "low", "high", "many", "cut")
+        done = materialize(cut.mapInArrow(tidy(_compare_rows(length, step, piece)), fixed), "compared")
+        parts.append(done.where("lead IS NULL").select("seed", "c1", "c2", "bits"))
+        rest = done.where("lead IS NOT NULL").drop("bits")
+        if not step or rest.isEmpty():
+            break
+        pieces = F.lit(1)
+        if step > 1:  # leads that are still frequent: at most a row in `piece`, so Spark may find them few enough to broadcast
+            often = rest.groupBy(F.xxhash64("lead").alias("h")).agg(F.ceil(F.count("*") / piece).cast("int").alias("often")).where("often > 1")
+            rest = rest.join(often, F.xxhash64("lead") == F.col("h"), "left")
+            pieces = F.coalesce("often", pieces)
+        buckets = rest.withColumn("pieces", pieces)
+    return reduce(DataFrame.union, parts)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, texts: bool = True, piece: int = PIECE) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that also starts anywhere else, in the same or another text.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256[, kept_text: the remaining bytes, with
@@ -259,7 +338,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. Their bytes are fetched, range-partitioned by leading tokens (sampled splitters between different values), sorted in each bucket
        by multikey quicksort, and compared. Windows starting up to half of `length` before the anchor share at least half of it after
        the anchor, the others share half of it before; so each goes to the bucket of that half, and a frequent short string is split by
-       its longer surroundings. Splitters lie between different leading tokens, so no two suffixes to compare lie apart.
+       its longer surroundings. A lead of a seed with more than `piece` anchors is cut into pieces, which splitters may part; windows
+       without an equal in their piece, and one of each class of equal ones, are compared across the pieces by longer leads.
     4. Results return to the documents as spans.
     """
     if not SEED < length < 256:
@@ -271,23 +351,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     seeds = found.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2")).alias("lo"), F.max(F.struct("c1", "c2")).alias("hi")).where("n > 1")
     # a table of its own: both sides of the join are then plain exchanges, and a seed with very many anchors is split among tasks
-    seeds = materialize(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("mixed")), "seeds")
+    # a seed's anchors bound the rows of each of its leads, so they say into how many pieces a lead must be cut
+    seeds = materialize(seeds.select("seed", (F.col("lo") != F.col("hi")).alias("mixed"), F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "seeds")
     hits = materialize(found.join(seeds, "seed"), "hits")
-    one = hits.where("mixed").groupBy("seed", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
-    wants = one.select(F.col("one.uid").alias("uid"), F.struct("seed", "c1", "c2", F.col("one.at").alias("at"), (F.col("n") > 1).alias("many")).alias("want"))
+    one = hits.where("mixed").groupBy("seed", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"), F.max("pieces").alias("pieces"))
+    wants = one.select(F.col("one.uid").alias("uid"), F.struct("seed", "c1", "c2", F.col("one.at").alias("at"), (F.col("n") > 1).alias("many"), "pieces").alias("want"))
     wants = wants.groupBy("uid").agg(F.collect_list("want").alias("wants"))
     # the same columns by the same key as in the last join below, so the texts are exchanged once for both
-    bytes_ = rows.join(wants, F.col("_uid") == F.col("uid")).select("_id", "_text", "wants").mapInArrow(tidy(_fetch(length)), "seed long, c1 long, c2 long, bytes binary, o int, w int, many boolean")
+    bytes_ = rows.join(wants, F.col("_uid") == F.col("uid")).select("_id", "_text", "wants").mapInArrow(tidy(_fetch(length)), "seed long, c1 long, c2 long, bytes binary, o int, w int, many boolean, pieces int")
     half = length // 2
     after = F.expr(f"substring(bytes, o + 1, {half})")
     before = F.reverse(F.hex(F.expr(f"substring(bytes, greatest(1, o - {half} + 1), least(o, {half}))")))
     low, high = F.col("o") - F.col("w"), F.col("o")
     near = F.struct(F.concat(F.lit(b"a"), after).alias("lead"), F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.lit(half)).alias("high"))
     far = F.struct(F.concat(F.lit(b"b"), F.encode(before, "UTF-8"), F.expr(f"substring(bytes, o + 1, {SEED})")).alias("lead"), F.greatest(low, F.lit(half + 1)).alias("low"), high.alias("high"))
-    both = bytes_.select("seed", "c1", "c2", "bytes", "o", "many", F.explode(F.filter(F.array(near, far), lambda x: x["low"] <= x["high"])).alias("x")).select("seed", "c1", "c2", "bytes", "o", "many", "x.*")
-    buckets = both.repartitionByRange("lead").sortWithinPartitions("lead")
-    bits = buckets.select("lead", "seed", "c1", "c2", "bytes", "o", "low", "high", "many").mapInArrow(tidy(_compare_rows(length)), "seed long, c1 long, c2 long, bits binary")
-    bits = bits.where(F.expr("bits <> X'" + "00" * ((length - SEED + 8) // 8) + "'"))
+    both = bytes_.select("seed", "c1", "c2", "bytes", "o", "many", "pieces", F.explode(F.filter(F.array(near, far), lambda x: x["low"] <= x["high"])).alias("x"))
+    bits = _compared(both.select("seed", "c1", "c2", "bytes", "o", "many", "pieces", "x.*"), length, piece)
 
     settled = hits.where("NOT mixed").select("uid", "at", F.lit(None).cast("binary").alias("bits"))
     compared = hits.where("mixed").join(bits, ["seed", "c1", "c2"]).select("uid", "at", "bits")

@@ -102,12 +102,34 @@ def suffix_docs():
     return docs + [(100, "ab" * 700), (101, "é" * 300), (102, one), (103, one), (104, one + "q" + one), (105, "x" + one + "y"), (106, one + "y"), (107, None), (108, ""), (109, words(900, 9)), (109, words(900, 9)), (None, words(70, 10))]
 
 
-def test_repeats_match_brute_force(spark):
+@pytest.mark.parametrize("piece", [suffix_dedup.PIECE, 8, 2])
+def test_repeats_match_brute_force(spark, piece):
     docs = suffix_docs()
-    got = suffix_dedup.remove_repeats(frame(spark, docs), texts=False)
+    got = suffix_dedup.remove_repeats(frame(spark, docs), texts=False, piece=piece)
     assert sorted(map(tuple, got.collect()), key=str) == repeats(docs)
 
 
+@pytest.mark.parametrize("piece", [40, 6])
+def test_frequent_leads_are_compared_across_pieces(spark, piece):
+    """Passages over and under 200 bytes, in contexts of their own or shared by two documents far apart."""
+    r = random.Random(12)
+    over, under = words(45, 21, 5000)[:260], words(45, 22, 5000)[:185]
+    docs = []
+    for i in range(240):
+        before, after = words(9, f"b{i % 170}", 5000), words(9, f"a{i if r.random() < 0.6 else i % 170}", 5000)
+        docs.append((i, f"{before} {r.choice([over, over, under])} {after}"))
+    got = suffix_dedup.remove_repeats(frame(spark, docs), texts=False, piece=piece)
+    assert sorted(map(tuple, got.collect()), key=str) == repeats(docs)
+
+
+def test_stretches():
+    mask = np.random.default_rng(5).random((40, 60)) < 0.6
+    for step in (1, 5, 25):
+        got = [(i, j) for i, a, b in zip(*suffix_dedup.stretches(mask, step), strict=True) for j in range(a, b + 1)]
+        assert got == list(zip(*np.nonzero(mask), strict=True))
+        assert all(a // step == b // step for _, a, b in zip(*suffix_dedup.stretches(mask, step), strict=True))
+
+
 def test_repeats_texts(spark):
     a = words(100, 3)
     got = by_id(suffix_dedup.remove_repeats(frame(spark, [(1, f"one {a}"), (2, f"two {a}")])))
