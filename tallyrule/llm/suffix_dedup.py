@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def _pieces(raw: list[bytes], data: np.ndarray, ends: np.ndarray, length: int, m
             yield np.full(len(first), k), first + base + at, last + base + at, place + base + at, h
 
 
-def place(at: int) -> tuple[int, int, int]:
+def place(at):
     """(first window, windows after it, anchor's distance from it) as packed in one number."""
     return at >> 16, at >> 8 & 255, at & 255
 
@@ -90,12 +91,11 @@ def _anchor_rows(length: int):
     def run(batches):
         for (uid,), raw, data, ends in _buffers(batches, ("_uid",), 1 << 20):
             whole = data.tobytes()
-            uids = np.array(uid.to_pylist(), dtype=object)
             for doc, first, last, spot, h in _pieces(raw, data, ends, length):
                 base = ends[doc] - np.array([len(r) for r in raw], np.int64)[doc] if len(doc) else doc
                 around = np.frombuffer(b"".join([hashlib.blake2b(whole[a : b + length] + bytes((p - a,)), digest_size=16).digest() for a, b, p in zip(first.tolist(), last.tolist(), spot.tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 where = (first - base) << 16 | (last - first) << 8 | (spot - first)
-                yield pa.RecordBatch.from_arrays([pa.array(uids[doc].tolist(), pa.binary()), pa.array(where), pa.array(h.view(np.int64)), pa.array(around[:, 0]), pa.array(around[:, 1])], ["uid", "at", "seed", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([uid.take(pa.array(doc)), pa.array(where), pa.array(h.view(np.int64)), pa.array(around[:, 0]), pa.array(around[:, 1])], ["uid", "at", "seed", "c1", "c2"])
 
     return run
 
@@ -268,31 +268,44 @@ def _fetch(length: int):
     return run
 
 
-def _remove(length: int, texts: bool):
+def removed(texts: list[bytes], owner: np.ndarray, at: np.ndarray, bits: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(removed bytes of all texts, each followed by a place of its own; where each text starts), for packed spans `at` of the texts `owner`.
+
+    Without bits all windows of a span go, else those whose bits are set.
+    """
+    start = np.cumsum([0] + [len(t) + 1 for t in texts])
+    mark = np.zeros(start[-1] + 1, np.int32)
+    first, windows, far = place(at)
+    first = first + start[owner]
+    whole = bits.is_null().to_numpy(zero_copy_only=False)
+    np.add.at(mark, first[whole], 1)
+    np.add.at(mark, (first + windows)[whole] + length, -1)
+    some = np.flatnonzero(~whole)
+    if len(some):
+        packed = np.frombuffer(b"".join(bits.drop_null().to_pylist()), np.uint8).reshape(len(some), -1)
+        row, o = np.nonzero(np.unpackbits(packed, axis=1)[:, : length - SEED + 1])
+        begin = (first + far)[some][row] - o
+        np.add.at(mark, begin, 1)
+        np.add.at(mark, begin + length, -1)
+    return np.cumsum(mark, dtype=np.int32)[:-1] > 0, start
+
+
+def _remove(length: int, texts: bool, limit: int = 1 << 22):
     def run(batches):
-        for b in batches:
+        for (ids, spans), raw, _, _ in _buffers(batches, ("_id", "spans"), limit):
+            flat, count = spans.flatten(), np.asarray(pc.fill_null(pc.list_value_length(spans), 0))
+            gone, start = removed(raw, np.repeat(np.arange(len(raw)), count), np.asarray(flat.field("at")), flat.field("bits"), length)
+            starts = np.diff(gone.astype(np.int8), prepend=0) == 1
             n_bytes, n_removed, n_spans, digest, kept_text = [], [], [], [], []
-            for text, spans in zip(b.column("_text"), b.column("spans").to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                mark = np.zeros(len(raw) + 1, np.int32)
-                for x in spans or ():
-                    a, w, far = place(x["at"])
-                    if x["bits"] is None:
-                        mark[a] += 1
-                        mark[a + w + length] -= 1
-                        continue
-                    on = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: length - SEED + 1].astype(bool)
-                    for o in np.flatnonzero(on).tolist():
-                        mark[a + far - o] += 1
-                        mark[a + far - o + length] -= 1
-                gone = np.cumsum(mark[:-1]) > 0
-                rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                n_bytes.append(len(raw))
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
+            for r, i in zip(raw, start.tolist(), strict=False):
+                cut = gone[i : i + len(r)]
+                n_bytes.append(len(r))
+                n_removed.append(int(np.count_nonzero(cut)))
+                n_spans.append(int(np.count_nonzero(starts[i : i + len(r)])))
+                rest = np.frombuffer(r, np.uint8)[~cut].tobytes() if n_removed[-1] else r
                 digest.append(hashlib.sha256(rest).hexdigest())
                 kept_text.append(rest.decode("utf-8", "replace") if texts else None)
-            cols = [b.column("_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
+            cols = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
             cols += [pa.array(kept_text, pa.string())] if texts else []
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(cols)])
 
