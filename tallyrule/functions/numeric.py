@@ -91,6 +91,12 @@ def seed_number(name: str) -> int:
     return h % 90_000 + 1
 
 
+def seed_of(name: Column) -> Column:
+    """seed_number as a column; null counts as empty."""
+    letters = F.filter(F.split(F.coalesce(name, F.lit("")), ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(7).cast("long"), lambda h, c: (h * 131 + F.ascii(c)).bitwiseAND(F.lit(_M32))) % 90_000 + 1
+
+
 def membership(x: Column, q1: Column, q3: Column, lo: Column, hi: Column) -> Column:
     """1 inside the quartiles, decaying with the distance outside; 0 for what is not finite or has no fingerprint."""
     span = F.greatest(q3 - q1, (hi - lo) * 0.5, F.lit(1e-9))

@@ -57,6 +57,31 @@ def format_value(feature: str, x: Column) -> Column:
     return F.when(ok, F.format_string(f"%.{PLACES[feature]}f", x.cast("double"))).otherwise("")
 
 
+# The lines of a run's report.
+ORGAN_LINE, CUT_LINE = '  ✓ organ %s: held-out AUC %s on %s rows it never saw (target "%s")', "  ✗ CUT %s: %s"
+BRAIN_LINE = "brain: %s organ(s) · %s B of seeds · mean held-out AUC %s · gate %s"
+THINK_LINE, LABELLED = "think(a held-out %s case) -> %s", " (label %s, receipt %s…)"
+
+
+def organ_line(name: Column, auc: Column, held: Column, target: Column, gate: float, error: Column | None = None) -> Column:
+    """A domain's line of a report: its grade, or why it was cut (the error that it was refused with, or a grade below the gate)."""
+    why = F.concat(F.lit("held-out AUC "), json_number(auc), F.lit(f" below gate {gate}"))
+    why = why if error is None else F.coalesce(error, why)
+    kept = F.coalesce(auc >= gate, F.lit(False)) & (F.lit(True) if error is None else error.isNull())
+    return F.when(kept, F.format_string(ORGAN_LINE, name, json_number(auc), held.cast("string"), target)).otherwise(F.format_string(CUT_LINE, name, why))
+
+
+def brain_line(organs: Column, size: Column, mean_auc: Column, gate: float) -> Column:
+    """A report's last line: number, bytes and mean grade of the kept domains."""
+    return F.format_string(BRAIN_LINE, organs.cast("string"), size.cast("string"), json_number(mean_auc), F.lit(str(gate)))
+
+
+def think_line(name: Column, verdict: Column, label: Column, receipt_hash: Column) -> Column:
+    """An answer in one line: verdict, and for verified ones label and the receipt's first twelve digits."""
+    more = F.when(verdict == "VERIFIED", F.format_string(LABELLED, label.cast("string"), F.substring(receipt_hash, 1, 12))).otherwise("")
+    return F.concat(F.format_string(THINK_LINE, name, verdict), more)
+
+
 def json_number(x: Column) -> Column:
     """A double as JSON text in its shortest form: whole numbers without a fraction."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)

@@ -115,6 +115,16 @@ def answer(df: DataFrame, library: list[Pattern], floor: float = ROUTE_MIN) -> D
     return out.withColumn("receipt_hash", digest(F.col("receipt"))).drop("_at")
 
 
+def arm_scores(sample: DataFrame, key: str, arms: dict[str, Pattern], answering: str) -> DataFrame:
+    """(arm, key, score, label) of every sample row in each arm: scores of all, labels of the answering arm alone.
+
+    Its label is null where it abstains, with a library that holds only its pattern; other arms have none.
+    """
+    rows = answer(sample, [arms[answering]]).withColumnRenamed("label", "_label")
+    each = [F.struct(F.lit(name).alias("arm"), score(p.rules).alias("score"), (F.col("_label") if name == answering else F.lit(None)).cast("int").alias("label")) for name, p in arms.items()]
+    return rows.drop("score").select(F.col(key), F.explode(F.array(*each)).alias("a")).select("a.arm", key, "a.score", "a.label")
+
+
 def receipt_opening(p: Pattern) -> Column:
     """The part of a receipt's JSON that the pattern decides: a constant."""
     num = lambda x: json_number(F.lit(float(x)))

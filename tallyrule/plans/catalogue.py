@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -283,6 +285,50 @@ def trust_scoreboard(spark, sf_dir):
     return routing.trust(routing.answer(held.union(junk), LIBRARY), "verdict", "label", "y", "answerable")
 
 
+_ARMS = {"forged": LIBRARY[0], "tier 3": replace(LIBRARY[0], rules=LINE_RULES_2), "tier 1": replace(LIBRARY[0], rules=LINE_RULES[:1])}
+_ARMS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS arm, {score_sql(p.rules)} AS score, y, {'label' if name == 'forged' else 'NULL::INT'} AS label FROM t" for name, p in _ARMS.items())
+
+
+@query(f"""WITH {ANSWER_SQL}, t AS (SELECT l.*, CASE WHEN ans.route_domain = 'line' AND ans.why IS NULL THEN ans.label END AS label FROM lines l JOIN (SELECT DISTINCT id, qty, price, disc, tax, route_domain, why, label FROM ans WHERE src = 'line') ans
+    ON ans.id = l.row_id * 10 + l.l_linenumber AND (ans.qty, ans.price, ans.disc, ans.tax) = (l.qty, l.price, l.disc, l.tax)),
+    s AS ({_ARMS_SQL}), {auc_sql('s', 'arm')} SELECT arm, auc, n, labels, ones FROM a JOIN (SELECT arm, count(*) AS n, count(label) AS labels, coalesce(sum(label), 0)::BIGINT AS ones FROM s GROUP BY 1) USING (arm)""")
+def comparison_arms(spark, sf_dir):
+    """Three arms over the same rows: scores of each, labels of the one that answers, null where it abstains."""
+    rows = lines(spark, sf_dir).withColumn("y_", F.col("y"))
+    arms = routing.arm_scores(rows.withColumn("key", F.struct("row_id", "l_linenumber", "y_")), "key", _ARMS, "forged")
+    sums = arms.groupBy("arm").agg(F.count("*").alias("n"), F.count("label").alias("labels"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones"))
+    return metrics.auc(metrics.histogram(arms, F.col("score"), F.col("key.y_"), ["arm"]), ["arm"]).join(sums, "arm").select("arm", "auc", "n", "labels", "ones")
+
+
+@query(f"""WITH {ANSWER_SQL}, r AS (SELECT src, id, verdict, label, sha256({RECEIPT_SQL}) AS h FROM ans WHERE src = 'part')
+    SELECT id, concat('think(a held-out ', src, ' case) -> ', verdict, CASE WHEN verdict = 'VERIFIED' THEN concat(' (label ', label, ', receipt ', substr(h, 1, 12), '…)') ELSE '' END) AS line FROM r""")
+def think_lines(spark, sf_dir):
+    """Answers as lines for people."""
+    out = routing.answer(inputs(spark, sf_dir).where("src = 'part'"), LIBRARY)
+    return out.select("id", T.think_line(F.col("src"), F.col("verdict"), F.col("label"), F.col("receipt_hash")).alias("line"))
+
+
+_REPORT_SQL = f"{ORDERS_SQL}, s AS (SELECT n_name AS nation, {score_sql(ORDER_RULES)} AS score, y FROM ord JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE split = 'held'), {auc_sql('s', 'nation')}"
+
+
+@query(f"""WITH {_REPORT_SQL}, k AS (SELECT * FROM a WHERE auc >= 0.5)
+    SELECT CASE WHEN auc >= 0.5 THEN concat('  ✓ organ ', nation, ': held-out AUC ', {_NUM('auc')}, ' on ', pos + neg, ' rows it never saw (target "urgent")') ELSE concat('  ✗ CUT ', nation, ': held-out AUC ', {_NUM('auc')}, ' below gate 0.5') END AS line FROM a
+    UNION ALL SELECT concat('brain: ', count(*), ' organ(s) · ', coalesce(sum(strlen(nation)), 0), ' B of seeds · mean held-out AUC ', {_NUM('coalesce(' + r6('avg(auc)') + ', 0)')}, ' · gate 0.5') FROM k""")
+def run_report(spark, sf_dir):
+    """The report of a run: a line for each nation's grade on its held-out orders, and the line of the whole."""
+    rows = orders(spark, sf_dir).where("split = 'held'").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    grades = metrics.auc(metrics.histogram(rows.withColumn("nation", F.col("n_name")), score(ORDER_RULES), F.col("y"), ["nation"]), ["nation"])
+    kept = grades.where("auc >= 0.5").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("nation")), F.lit(0)).alias("size"), F.coalesce(N.round_up(F.avg("auc")), F.lit(0.0)).alias("mean"))
+    organs = grades.select(T.organ_line(F.col("nation"), F.col("auc"), F.col("pos") + F.col("neg"), F.lit("urgent"), 0.5).alias("line"))
+    return organs.union(kept.select(T.brain_line(F.col("n"), F.col("size"), F.col("mean"), 0.5).alias("line")))
+
+
+@query("SELECT c_custkey, list_reduce([7::BIGINT] || list_transform(string_split(c_name, ''), lambda c: ord(c)::BIGINT), lambda h, c: (h * 131 + c) % 4294967296) % 90000 + 1 AS seed FROM customer")
+def name_seeds(spark, sf_dir):
+    """Seeds made from names."""
+    return read(spark, sf_dir, "customer").select("c_custkey", N.seed_of(F.col("c_name")).alias("seed"))
+
+
 # ---- splits and samples -------------------------------------------------------------------------------------------------
 
 
@@ -359,6 +405,25 @@ def bootstrap_interval(spark, sf_dir):
     return metrics.interval(metrics.bootstrap(rows, arms, [("A", "B", "auc")], 200))
 
 
+_CLAIMS_SQL = _BOOT_SQL.replace("floor(dr.u * 100))", "floor(dr.u * 100) UNION ALL SELECT -1, rk.* FROM rk)") + f""",
+    lb AS (SELECT resample, arm, y, CAST(score > CASE arm WHEN 'A' THEN 0.5 ELSE 6.0 END AS INT) AS label FROM sc),
+    rc AS (SELECT resample, arm, y, avg(CAST(label = y AS INT)) AS recall FROM lb GROUP BY 1, 2, 3), bl AS (SELECT resample, arm, {r6('avg(recall)')} AS bal FROM rc GROUP BY 1, 2),
+    bd AS (SELECT resample, {r6("sum(CASE arm WHEN 'A' THEN bal ELSE -bal END)")} AS diff FROM bl GROUP BY 1),
+    al AS (SELECT 'ranks' AS id, * FROM df UNION ALL SELECT 'labels', * FROM bd),
+    ix AS (SELECT *, row_number() OVER (PARTITION BY id, resample < 0 ORDER BY diff) - 1 AS nth FROM al),
+    cl AS (SELECT id, max(CASE WHEN resample < 0 THEN diff END) AS diff, max(CASE WHEN resample >= 0 AND nth = 5 THEN diff END) AS lo, max(CASE WHEN resample >= 0 AND nth = 195 THEN diff END) AS hi FROM ix GROUP BY 1)"""
+
+
+@query(f"{_CLAIMS_SQL} SELECT id, diff, lo, hi, diff > 0 AND lo > 0 AS holds FROM cl UNION ALL SELECT 'gone', NULL, NULL, NULL, false UNION ALL SELECT 'parsed', NULL, NULL, NULL, true")
+def judged_claims(spark, sf_dir):
+    """The verdict on each claim: differences of AUC and of balanced accuracy with their intervals, a missing arm, replies read."""
+    rows, arms = _boot(spark, sf_dir)
+    pairs = {"ranks": ("A", "B", "auc"), "labels": ("A", "B", "bal"), "gone": ("A", "C", "auc")}
+    out = metrics.judge(rows, arms, pairs, {"A": 195, "B": 190}, draws=200)
+    keys = ("id", "diff", "lo", "hi", "holds")
+    return spark.createDataFrame([tuple(c.get(k) for k in keys) for c in out["claims"]], "id string, diff double, lo double, hi double, holds boolean")
+
+
 # ---- candidates, tiers, ensembles ---------------------------------------------------------------------------------------
 
 CANDIDATES = [LINE_RULES, LINE_RULES_2, (Rule("qty", ">", 25.0, 1.0),), (Rule("qty", "<=", 25.0, -1.0),), (Rule("price", ">", 53000.0, 2.0), Rule("tax", "<=", 0.02, 0.25))]

@@ -218,3 +218,16 @@ def test_ranks_run_over_blocks_of_ranges(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     got = {r["k"]: r["_rank"] for r in splitting._ranked(df, "k", width=4).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
+
+
+def test_seeds_of_names(spark):
+    names = ["", "churn", "a b", "Zürich", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(N.seed_of(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == [N.seed_number(n or "") for n in names]
+
+
+def test_arms_abstain_far_outside(spark):
+    p = routing.Pattern("d", ("x",), (Rule("x", ">", 1.0, 1.0),), 0.5, 1.0, 0.5, 0.7, 0.7, 10, {"x": (0.0, 1.0, 2.0, 3.0, 4.0)}, "i")
+    rows = spark.createDataFrame([(1, 2.0), (2, 0.5), (3, 900.0)], "idx long, x double")
+    got = {(r.arm, r.idx): (r.score, r.label) for r in routing.arm_scores(rows, "idx", {"P": p, "Q": p}, "P").collect()}
+    assert got == {("P", 1): (1.0, 1), ("P", 2): (0.0, 0), ("P", 3): (1.0, None), ("Q", 1): (1.0, None), ("Q", 2): (0.0, None), ("Q", 3): (1.0, None)}
