@@ -22,6 +22,12 @@ def read_seal(text: str, test: str) -> dict | None:
     return plan if isinstance(plan, dict) and plan.get("test") == test and isinstance(plan.get("prompt"), list) else None
 
 
+def sealed_lines(text: Column, test: str) -> Column:
+    """read_seal as a column: the prompt lines of the named test's plan in a text, else null."""
+    plan = F.from_json(F.regexp_extract(text, r"(?s)```json\n(.*?)\n```", 1), "test string, prompt array<string>")
+    return F.when(plan["test"] == test, plan["prompt"])
+
+
 def prompt(lines: list[str], book: str | None = None) -> Column:
     """The prompt lines with {feature} replaced by the row's value as that feature is shown, after a book and a blank line if there is one."""
     parts: list[Column] = [F.lit(book.strip() + "\n\n")] if isinstance(book, str) else []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyrule.functions import numeric as N
 from tallyrule.functions import text as T
 from tallyrule.operators import costs, metrics, profile, routing, sealed, search, splitting, textgraph
-from tallyrule.operators.scorecard import Rule, decode, score, score_map
+from tallyrule.operators.scorecard import Rule, book, decode, score, score_map
 from tallyrule.sources import domains, tables
 from tallyrule.streaming import answers
 
@@ -952,3 +952,57 @@ def stream_answer(spark, sf_dir):
     answers.run_once(answers.answer_stream(stream, LIBRARY).select("p_partkey", "verdict", "route_domain", "route_score", "label"), f"{base}/out", f"{base}/log")
     return spark.read.parquet(f"{base}/out")
 
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT p_partkey, p_name, p_size FROM part")
+def state_round_trip(spark, sf_dir):
+    """Tables written as state, in both formats, and read again."""
+    import uuid
+
+    base = f"{tables.shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    tables.write_state(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), f"{base}/json")
+    tables.write_state(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), f"{base}/parquet", "parquet")
+    return tables.read_state(spark, f"{base}/json").select("n_nationkey", "n_name", "n_regionkey").union(spark.read.parquet(f"{base}/parquet").select("p_partkey", "p_name", "p_size"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN concat('is it ', p_name, '?|yes or no') END AS lines FROM part""")
+def sealed_plans(spark, sf_dir):
+    """Prompt lines of plans in texts: the named test's, and none of another test, of broken JSON or without a fence."""
+    body = lambda test: F.concat(F.lit('{"test":"' + test + '","prompt":["is it '), F.col("p_name"), F.lit('?","yes or no"]}'))
+    fenced = lambda x: F.concat(F.lit("# Plan\n```json\n"), x, F.lit("\n```\nafter"))
+    kind = F.col("p_size") % 4
+    text = F.when(kind == 0, fenced(body("SIZE"))).when(kind == 1, fenced(body("OTHER"))).when(kind == 2, fenced(F.lit('{"test":"SIZE","prompt":['))).otherwise(body("SIZE"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(sealed.sealed_lines(text, "SIZE"), "|").alias("lines"))
+
+
+_REPLIES = (
+    ("list", 'Sure: [{"feature":"QTY","direction":"low"},{"feature":"nope"},{"feature":"tax","direction":"high"},{"feature":"tax","direction":"low"}]'),
+    ("prose", "Returns rise when qty is below normal; price matters, the larger the worse"),
+    ("empty", ""),
+    ("broken", "[{feature: disc}] and disc goes down"),
+)
+
+
+@query("SELECT * FROM (VALUES ('list', 0, 'qty', 'low', 'qty <= at cut 7'), ('list', 1, 'tax', 'high', 'tax > at cut 7'), ('prose', 0, 'qty', 'low', 'qty <= at cut 7'), ('prose', 1, 'price', 'high', 'price > at cut 7'), ('broken', 0, 'disc', 'low', 'disc <= at cut 7')) t(reply, place, feature, direction, gene)")
+def read_hypotheses(spark, sf_dir):
+    """Hypotheses read from replies, and the rules they become; replies are few, so the driver reads them."""
+    rows = []
+    for reply, text in _REPLIES:
+        found = search.parse_hypotheses(text, list(LINE))
+        genes = [g for g in search.genome_of(found, list(LINE)) if g.on] if found else []
+        rows += [(reply, i, f, d, f"{LINE[g.f]} {'>' if g.d else '<='} at cut {g.q}") for i, ((f, d), g) in enumerate(zip(found, genes, strict=True))]
+    return spark.createDataFrame(rows, "reply string, place int, feature string, direction string, gene string")
+
+
+_BOOK_SQL = """concat('PATTERN BOOK — part (predicts: "kept")', chr(10), 'source: parts', chr(10), 'held-out AUC 0.7 · held-out accuracy 0.66 · 600 held-out cases', chr(10), chr(10),
+    '  • when size is above 25  →  makes "kept" MORE likely  (weight +1)', chr(10), '  • when retail is at or below 1000  →  makes "kept" LESS likely  (weight -0.5)')"""
+
+
+@query(f"""WITH b AS (SELECT {_BOOK_SQL} AS book) SELECT 'part' AS domain, book, sha256(concat('{{"domain":"part","rules":2,"heldAuc":0.7,"book":"', sha256(book), '"}}')) AS receipt_hash, true AS genuine, false AS altered FROM b""")
+def pattern_books(spark, sf_dir):
+    """A card as a book, its receipt's hash, and the check of the receipt as it is and altered."""
+    import hashlib
+
+    p = LIBRARY[2]
+    text = book(p.domain, "kept", p.rules, p.held_auc, p.held_acc, p.held, "parts")
+    receipt = sealed.hashed({"domain": p.domain, "rules": len(p.rules), "heldAuc": p.held_auc, "book": hashlib.sha256(text.encode()).hexdigest()})
+    return spark.createDataFrame([(p.domain, text, receipt["receiptHash"], sealed.genuine(receipt), sealed.genuine({**receipt, "heldAuc": 0.9}))], "domain string, book string, receipt_hash string, genuine boolean, altered boolean")

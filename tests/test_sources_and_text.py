@@ -101,6 +101,12 @@ def test_state_and_books(spark, tmp_path):
     assert tables.read_state(spark, str(tmp_path / "none.json")) is None
     tables.write_state(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "s"))
     assert tables.read_state(spark, str(tmp_path / "s")).count() == 1
+    tables.write_state(spark.range(50).coalesce(1), str(tmp_path / "many"))
+    assert tables.read_state(spark, str(tmp_path / "many")).count() == 50
+    (tmp_path / "one.json").write_text('{\n "a": 1,\n "b": [1,\n 2]\n}')
+    assert [tuple(r) for r in tables.read_state(spark, str(tmp_path / "one.json")).collect()] == [(1, [1, 2])]
+    (tmp_path / "bad.json").write_text('{"a": [')
+    assert tables.read_state(spark, str(tmp_path / "bad.json")) is None
     assert len(tables.write_book(str(tmp_path / "books"), "d", "book", {"a": 1}, "mind")) == 3
 
 
