@@ -1,8 +1,9 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from aligned token streams of each host's pages.
 
-A page is reduced to its skeleton: open and close tags of the elements that lay it out, and # for what flows between them. Skeletons of
-a host are aligned one after the other; mismatches become optional or repeated groups, and each # a slot or, where all
-pages have the same text, a part of the template. The element that holds the slots' text is the wrapper's root. Each page is then
+A page is reduced to its skeleton: open and close tags of the elements that lay it out, and # for what flows between them. All different
+pages of a host count: its base is the skeleton nearest to all others, and each skeleton is aligned with it. Places that some page lacks and
+runs that the base lacks are optional groups, repeats are groups too, and each # is a slot or, where all pages that have it have the
+same text, a part of the template. The element that holds the slots' text is the wrapper's root. Each page is then
 aligned with its host's wrapper, and its main text is what lies between the tags that meet the root's. Pages of hosts with too few pages
 to infer from, and pages that the wrapper does not fit, are read by element names and class words alone.
 """
@@ -14,9 +15,11 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +50,11 @@ _RAW = re.compile(rf"<({RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-#: Different pages from which on a text that all share counts as fixed, and skeletons are aligned.
+#: Different pages from which on a text that all of them share counts as fixed, and a host has a wrapper.
 LEAST_PAGES = 4
 #: Share of the slots' text that a wrapper's root holds at least.
 MASS = 0.6
-#: Share of the symbols that all sampled pages have which a page must meet to be read by the wrapper.
+#: Share of what pages meet on average, each symbol counted by the pages that have it, that a page must meet to be read by the wrapper.
 FIT = 0.8
 
 
@@ -140,11 +143,11 @@ def fold_repeats(symbols: list[str], longest: int = 16) -> list[tuple[str, int,
         new, i = [], 0
         while i < len(seq):
             k = 1
-            if i + 2 * size <= len(seq) and names[i] == names[i + size]:
-                group = names[i : i + size]
+            group = names[i : i + size] if i + 2 * size <= len(seq) and names[i] == names[i + size] else []
+            if group and names[i + size : i + 2 * size] == group and _balanced(group):
                 while names[i + k * size : i + (k + 1) * size] == group:
                     k += 1
-            if k > 1 and _balanced(group):
+            if k > 1:
                 new.append((f"({' '.join(group)})+", seq[i][1], seq[i + k * size - 1][2]))
                 i += k * size
             else:
@@ -170,70 +173,155 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return [(x + k, y + k) for x, y, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(n)]
 
 
-def infer(pages: list[str], aligner: Callable = align) -> dict:
-    """The wrapper of pages of one host: its symbols, which are optional, the places of the root's tags, and the expression as text.
+def shape(toks: list[tuple[str, str, str]]) -> tuple[list[str], list[str]]:
+    """(symbols, for each its text) of a page's tokens after repeats are folded."""
+    plain, _, own = skeleton(toks)
+    folded = fold_repeats(plain)
+    return [x[0] for x in folded], [" ".join(filter(None, own[a:b])) for _, a, b in folded]
+
+
+def base_of(kinds: Counter) -> tuple[str, ...]:
+    """Of skeletons, counted by different pages, the one nearest to all pages; () if all are empty.
 
-    Skeletons are aligned one after the other. A symbol that some page lacks becomes optional (adjacent ones are one group in the
-    text form), repeats are groups with +, and every # keeps the texts it has met: with one text in all pages it is template, else a
-    slot ($ in the text form). Pages with the same tokens count once; below LEAST_PAGES different ones there is no root.
+    Distance is the number of symbols, with repetition, that only one of two has. Its sum over n pages is a constant less the sum of
+    2 * (pages that have the symbol that often) - n over a skeleton's symbols. Among equals the greatest digest wins.
+    """
+    have: Counter = Counter()
+    for symbols, n in kinds.items():
+        for x, k in Counter(symbols).items():
+            for i in range(k):
+                have[x, i] += n
+    total = kinds.total()
+    score = {s: sum(2 * have[x, i] - total for x, k in Counter(s).items() for i in range(k)) for s in kinds if s}
+    return max(score, key=lambda s: (score[s], digest("\n".join(s))), default=())
+
+
+class Meeting:
+    """A skeleton aligned with a base: the places that meet, the gaps of the base (each before a place, the last at the end) in which
+    all others lie, and which places are outside asides.
     """
-    parsed = list({hashlib.sha256(repr(t).encode()).digest(): t for t in (list(tokens(p)) for p in pages)}.values())
-    if len(parsed) < LEAST_PAGES:
-        return {"symbols": [], "optional": [], "root": None, "wrapper": ""}
-    symbols: list[str] = []
-    texts: list[list[str]] = []  # one for each page that has the symbol
-    for toks in parsed:
-        plain, _, own = skeleton(toks)
-        folded = fold_repeats(plain)
-        new, held = [x[0] for x in folded], [" ".join(filter(None, own[a:b])) for _, a, b in folded]
-        if not symbols:
-            symbols, texts = new, [[t] for t in held]
-            continue
-        out, out_texts, i, j = [], [], 0, 0
-        for x, y in [*aligner(symbols, new), (len(symbols), len(new))]:
-            out += symbols[i:x] + new[j:y]
-            out_texts += texts[i:x] + [[t] for t in held[j:y]]
-            if x < len(symbols):
-                out.append(symbols[x])
-                out_texts.append([*texts[x], held[y]])
-            i, j = x + 1, y + 1
-        symbols, texts = out, out_texts
-    n = len(parsed)
-    slots = [len(set(t)) > 1 or len(t) < n for t in texts]
-    mass = [sum(map(len, t)) / n if s else 0.0 for t, s in zip(texts, slots, strict=True)]
-    optional = [len(t) < n for t in texts]
-    text, i = [], 0
-    while i < len(symbols):
-        j = i + 1
-        while j < len(symbols) and optional[j] == optional[i]:
-            j += 1
-        part = " ".join("$" if x == "#" and s else x for x, s in zip(symbols[i:j], slots[i:j], strict=True))
-        text.append(f"[{part}]?" if optional[i] else part)
-        i = j
-    return {"symbols": symbols, "optional": optional, "root": _root(symbols, mass), "wrapper": " ".join(text)}
-
-
-def _root(symbols: list[str], mass: list[float]) -> tuple[int, int] | None:
-    """Places of the tags of the innermost element with at least MASS of the slots' text outside asides; None if there is none.
 
-    An article, or else a main element, with that much is taken as it is, so headings beside its longest part belong to it.
+    def __init__(self, base: list[str], symbols: list[str], aligner: Callable = align) -> None:
+        pairs = aligner(base, symbols)
+        self.base = np.array([x for x, _ in pairs], np.int64)
+        self.own = np.array([y for _, y in pairs], np.int64)
+        self.free = np.setdiff1d(np.arange(len(symbols)), self.own)
+        after = np.append(self.base, len(base))
+        self.gap = after[np.searchsorted(self.own, self.free)]
+        self.main = ~_asides(symbols, _spans(symbols))
+
+
+class Tally:
+    """Sums over pages that meet a base: for each place the pages that have it, the length of their texts outside asides, and the least
+    and greatest hash of the texts; for each gap the length of the texts in it. Sums of parts add up, whatever the parts are.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.pages, self.mass, self.gaps = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size + 1, np.int64)
+        self.least, self.most = np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+
+    def add(self, met: Meeting, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        sizes = sizes * met.main
+        self.pages[met.base] += 1
+        self.mass[met.base] += sizes[met.own]
+        self.least[met.base] = np.minimum(self.least[met.base], hashes[met.own])
+        self.most[met.base] = np.maximum(self.most[met.base], hashes[met.own])
+        np.add.at(self.gaps, met.gap, sizes[met.free])
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.pages, self.mass, self.gaps, self.least, self.most]
+
+    def join(self, parts: list[np.ndarray]) -> None:
+        pages, mass, gaps, least, most = parts
+        self.pages += pages
+        self.mass += mass
+        self.gaps += gaps
+        self.least, self.most = np.minimum(self.least, least), np.maximum(self.most, most)
+
+    def slots(self) -> np.ndarray:
+        """Whether a place is no template: its text differs, or too few pages have it."""
+        return (self.least != self.most) | (self.pages < LEAST_PAGES)
+
+    def spec(self, base: list[str], n: int) -> dict:
+        """The wrapper of n pages: its symbols, the pages that have each, n, and the places of the root's tags, which over half of the pages have."""
+        root = _root(base, np.where(self.slots(), self.mass, 0), self.gaps)
+        return {"symbols": list(base), "pages": self.pages.tolist(), "n": n, "root": root if root and 2 * self.pages[list(root)].min() > n else None}
+
+
+def measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and 64-bit hashes of texts."""
+    hashes = (int.from_bytes(digest(t)[:8], "big", signed=True) if t else 0 for t in texts)
+    return np.fromiter(map(len, texts), np.int64, len(texts)), np.fromiter(hashes, np.int64, len(texts))
+
+
+def infer(pages: list[str], aligner: Callable = align) -> dict:
+    """The wrapper of all pages of one host (Tally.spec), and the expression as text.
+
+    Skeletons are aligned with the base (base_of). A place that some page lacks, and each run of symbols that the base lacks, is
+    optional (adjacent places are one group in the text form), repeats are groups with +. A # with one text in all pages that have it,
+    LEAST_PAGES at least, is template, else a slot ($ in the text form). Pages with the same tokens count once; below LEAST_PAGES
+    different ones there is no root. wrappers() does the same to the pages of all hosts.
     """
-    spans, stack, skipped = [], [], [False] * len(symbols)
+    parsed = list({digest(repr(t)): t for t in (list(tokens(p)) for p in pages)}.values())
+    if len(parsed) < LEAST_PAGES:
+        return {"symbols": [], "pages": [], "n": len(parsed), "root": None, "wrapper": ""}
+    shapes = [shape(t) for t in parsed]
+    base = list(base_of(Counter(tuple(s) for s, _ in shapes)))
+    tally, runs = Tally(len(base)), [set() for _ in range(len(base) + 1)]
+    for symbols, texts in shapes:
+        met = Meeting(base, symbols, aligner)
+        tally.add(met, *measures(texts))
+        for g in set(met.gap.tolist()):
+            runs[g].add(" ".join("$" if symbols[y] == "#" else symbols[y] for y in met.free[met.gap == g]))
+    optional, slots = tally.pages < len(parsed), tally.slots()
+    text, part = [], []
+    for i in range(len(base) + 1):
+        if part and (i == len(base) or runs[i] or optional[i] != optional[i - 1]):
+            text.append(f"[{' '.join(part)}]?" if optional[i - 1] else " ".join(part))
+            part = []
+        text += [f"[{r}]?" for r in sorted(runs[i])]
+        if i < len(base):
+            part.append("$" if base[i] == "#" and slots[i] else base[i])
+    return tally.spec(base, len(parsed)) | {"wrapper": " ".join(text)}
+
+
+def _spans(symbols: list[str]) -> list[tuple[int, int]]:
+    """Places of the open and close tags of elements, in the order of the latter."""
+    spans, stack, opened = [], [], Counter()
     for i, x in enumerate(symbols):
         if x[0] == "<":
-            stack.append(i)
-        elif x[0] == ">":
-            k = next((k for k in range(len(stack) - 1, -1, -1) if symbols[stack[k]][1:].split(".")[0] == x[1:]), None)
-            if k is not None:
-                spans.append((stack[k], i))
-                del stack[k:]
+            name = x[1:].split(".")[0]
+            stack.append((name, i))
+            opened[name] += 1
+        elif x[0] == ">" and opened[x[1:]]:
+            name = ""
+            while name != x[1:]:
+                name, k = stack.pop()
+                opened[name] -= 1
+            spans.append((k, i))
+    return spans
+
+
+def _asides(symbols: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which symbols are of or in elements that are no main text."""
+    skipped = np.zeros(len(symbols), bool)
     for a, b in spans:
         name, _, classes = symbols[a][1:].partition(".")
         if name in SKIPPED or marks(f'class="{classes.replace(".", " ")}"')[0] and name not in ("html", "body"):
-            skipped[a : b + 1] = [True] * (b + 1 - a)
-    own = [0.0 if s else m for m, s in zip(mass, skipped, strict=True)]
-    total = sum(own)
-    good = [(b - a, a, b) for a, b in spans if not skipped[a] and total and sum(own[a:b]) >= MASS * total and symbols[a].split(".")[0] not in ("<html", "<body")]
+            skipped[a : b + 1] = True
+    return skipped
+
+
+def _root(symbols: list[str], mass: np.ndarray, gaps: np.ndarray) -> tuple[int, int] | None:
+    """Places of the tags of the innermost element with at least MASS of the slots' and gaps' text outside asides; None if there is none.
+
+    An article, or else a main element, with that much is taken as it is, so headings beside its longest part belong to it.
+    """
+    spans = _spans(symbols)
+    skipped = _asides(symbols, spans)
+    own = np.cumsum(np.where(skipped, 0, mass) + gaps[:-1])  # up to each place, with the gap before it
+    total = int(own[-1] + gaps[-1]) if len(own) else 0
+    good = [(b - a, a, b) for a, b in spans if not skipped[a] and total and own[b] - own[a] >= MASS * total and symbols[a].split(".")[0] not in ("<html", "<body")]
     for name in ("<article", "<main"):
         named = [(a, b) for a, b in spans if symbols[a].split(".")[0] == name and not skipped[a]]
         outer = [(a, b) for a, b in named if not any(c < a and b < d for c, d in named)]
@@ -250,7 +338,9 @@ class Wrapper:
 
     def __init__(self, spec: dict, most: int = 500) -> None:
         self.symbols, self.root = spec["symbols"], spec["root"]
-        self.must = [not x for x in spec["optional"]]
+        self.pages = spec["pages"]
+        self.least = FIT * sum(k * k for k in self.pages)
+        self.n = spec["n"]
         self.met: dict[tuple[str, ...], tuple[int, int] | None] = {}
         self.most = most
 
@@ -266,7 +356,7 @@ class Wrapper:
                 self.met.clear()
             pairs = dict(align(self.symbols, list(names)))
             a, b = (pairs.get(k) for k in self.root)
-            fits = sum(self.must[k] for k in pairs) >= FIT * sum(self.must)
+            fits = self.n * sum(self.pages[k] for k in pairs) >= self.least
             self.met[names] = (a, b) if a is not None and b is not None and fits else None
         found = self.met[names]
         return None if found is None else (at[folded[found[0]][1]], at[folded[found[1]][1]])
@@ -401,59 +491,102 @@ def _host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", per_host: int = 8) -> DataFrame:
-    """(_host, _wrapper) of each host from at most per_host pages, those with the least hashes of all its different ones.
-
-    Each task sends the least hashes of each host; the chosen pages are then fetched by their hash, so that no more than
-    per_host pages of a host meet. Hosts with fewer than LEAST_PAGES different pages, or without a root, have no row.
+def shapes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(_host, _page, _shape, _symbols, _sizes, _hashes) of all different pages: digests of the tokens and of the skeleton, its symbols one
+    a line, and for each symbol the length and hash of its text.
     """
-    rows = pages.where(F.col(html_col).isNotNull()).select(_host(url_col).alias("_host"), F.col(html_col).alias("_html"), F.xxhash64(html_col).alias("_hash"))
-    keys = rows.select("_host", "_hash")
+    schema = "_host string, _page binary, _shape binary, _symbols string, _sizes array<long>, _hashes array<long>"
+    arrow = pa.schema([("_host", pa.string()), ("_page", pa.binary()), ("_shape", pa.binary()), ("_symbols", pa.string()), ("_sizes", pa.list_(pa.int64())), ("_hashes", pa.list_(pa.int64()))])
 
-    def least(batches, most=200_000):
-        held: dict[str, set] = {}
-        size = 0
+    def run(batches):
         for b in batches:
-            for host, h in zip(b.column("_host").to_pylist(), b.column("_hash").to_pylist(), strict=True):
-                own = held.setdefault(host, set())
-                size += h not in own
-                own.add(h)
-                if len(own) > per_host:
-                    own.remove(max(own))
-                    size -= 1
-            if size > most:
-                yield sent(held)
-                held, size = {}, 0
-        if held:
-            yield sent(held)
+            out = []
+            for page in b.column("_html"):
+                toks = list(tokens(page.as_py()))
+                symbols, texts = shape(toks)
+                lines = "\n".join(symbols)
+                out.append((digest(repr(toks)), digest(lines), lines, *measures(texts)))
+            yield pa.RecordBatch.from_arrays([b.column("_host"), *(pa.array([x[i] for x in out], arrow.field(i + 1).type) for i in range(5))], schema=arrow)
+
+    rows = pages.where(F.col(html_col).isNotNull()).select(_host(url_col).alias("_host"), F.col(html_col).alias("_html"))
+    return rows.mapInArrow(tidy(run), schema).dropDuplicates(["_host", "_page"])
+
 
-    def sent(held):
-        flat = [(host, h) for host, own in held.items() for h in own]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in flat], pa.string()), pa.array([x for _, x in flat], pa.int64())], ["_host", "_hash"])
+def bases(different: DataFrame, hint: Callable) -> DataFrame:
+    """(_host, _base, _n): the skeleton nearest to all different pages of a host (base_of), and their number, LEAST_PAGES at least."""
+    kinds = materialize(different.groupBy("_host", "_shape").agg(F.count("*").alias("_pages"), F.first("_symbols").alias("_base")), "kinds")
+    hosts = kinds.groupBy("_host").agg(F.sum("_pages").alias("_n")).where(F.col("_n") >= LEAST_PAGES)
+    each = kinds.where("_base <> ''").select("_host", "_shape", "_pages", F.explode(F.split("_base", "\n")).alias("_symbol"))
+    each = each.groupBy("_host", "_shape", "_pages", "_symbol").agg(F.count("*").alias("_times"))
+    each = each.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    have = materialize(each.groupBy("_host", "_symbol", "_k").agg(F.sum("_pages").alias("_have")), "counts")
+    score = each.join(hint(have, F.length("_host") + F.length("_symbol") + 16), ["_host", "_symbol", "_k"]).groupBy("_host", "_shape").agg(F.sum("_have").alias("_sum"), F.count("*").alias("_long"))
+    score = score.join(hint(hosts, F.length("_host") + 8), "_host").withColumn("_score", F.expr("2 * _sum - _n * _long"))
+    best = score.groupBy("_host", "_n").agg(F.max(F.struct("_score", "_shape")).alias("_best")).select("_host", "_n", F.col("_best._shape").alias("_shape"))
+    return best.join(kinds, ["_host", "_shape"]).select("_host", "_base", "_n")
 
-    chosen = keys.mapInArrow(tidy(least), "_host string, _hash long").groupBy("_host").agg(F.slice(F.sort_array(F.collect_set("_hash")), 1, per_host).alias("_all"))
-    chosen = materialize(chosen.where(F.size("_all") >= LEAST_PAGES).select("_host", F.explode("_all").alias("_hash")), "chosen")
-    sample = rows.join(chosen, ["_host", "_hash"]).groupBy("_host", "_hash").agg(F.min("_html").alias("_html"))
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", hint: Callable = lambda df, size: df) -> DataFrame:
+    """(_host, _wrapper) of each host from all its different pages, as infer() does it.
+
+    Each task aligns a host's skeletons with the host's base and sends one row of sums a host (or a few, to bound its memory); no two pages
+    need to meet. Hosts with fewer than LEAST_PAGES different pages, or without a root, have no row. hint(table, bytes a row) marks
+    tables to broadcast.
+    """
+    different = materialize(shapes(pages, url_col, html_col), "shapes")
+    base = materialize(bases(different, hint), "bases")
+    names = ["_pages", "_mass", "_gaps", "_least", "_most"]
+    schema = "_host string, _base string, _n long, " + ", ".join(f"{x} array<long>" for x in names)
+    arrow = pa.schema([("_host", pa.string()), ("_base", pa.string()), ("_n", pa.int64()), *((x, pa.list_(pa.int64())) for x in names)])
+
+    def send(held):
+        rows = [{"_host": h, "_base": base, "_n": n} | dict(zip(names, t.parts(), strict=True)) for h, (base, n, t) in held.items()]
+        return pa.RecordBatch.from_pylist(rows, arrow)
+
+    def run(batches, most=500_000):
+        held, size, known, room = {}, 0, {}, 0
+        for b in batches:
+            for host, kind, symbols, base, n, sizes, hashes in zip(*(b.column(x).to_pylist() for x in ("_host", "_shape", "_symbols", "_base", "_n")), b.column("_sizes"), b.column("_hashes"), strict=True):
+                if (host, kind) not in known:
+                    if room > most:
+                        known, room = {}, 0
+                    known[host, kind] = Meeting(base.split("\n"), symbols.split("\n") if symbols else [])
+                    room += symbols.count("\n") + 100
+                if host not in held:
+                    places = base.count("\n") + 1
+                    held[host] = base, n, Tally(places)
+                    size += places
+                held[host][2].add(known[host, kind], sizes.values.to_numpy(), hashes.values.to_numpy())
+                if size > most:
+                    yield send(held)
+                    held, size = {}, 0
+        if held:
+            yield send(held)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        spec = infer(group.sort_values("_hash")["_html"].tolist())
-        return pd.DataFrame({"_host": group["_host"][:1], "_wrapper": [json.dumps({k: spec[k] for k in ("symbols", "optional", "root")}) if spec["root"] else None]})
+        base = group["_base"].iloc[0].split("\n")
+        tally = Tally(len(base))
+        for parts in zip(*(group[x] for x in names), strict=True):
+            tally.join(parts)
+        spec = tally.spec(base, int(group["_n"].iloc[0]))
+        return pd.DataFrame({"_host": group["_host"][:1], "_wrapper": [json.dumps(spec) if spec["root"] else None]})
 
-    return sample.groupBy("_host").applyInPandas(join, "_host string, _wrapper string").where("_wrapper IS NOT NULL")
+    rows = different.join(hint(base, F.length("_base") + F.length("_host") + 8), "_host").select("_host", "_shape", "_symbols", "_base", "_n", "_sizes", "_hashes")
+    return rows.mapInArrow(tidy(run), schema).groupBy("_host").applyInPandas(join, "_host string, _wrapper string").where("_wrapper IS NOT NULL")
 
 
 def extract_text(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = 32 << 20) -> DataFrame:
     """(page_id, url, text, n_chars) of every whole page.
 
-    Wrappers are inferred from a sample of each host's pages (wrappers) and applied to all of them. Texts inside a root are all kept;
-    from pages without any root the texts go that all such pages of the host share (shared_texts). Both tables are broadcast if they
+    Wrappers are inferred from all pages of each host (wrappers) and applied to them. Texts inside a root are all kept;
+    from pages without any root the texts go that all such pages of the host share (shared_texts). Tables by host are broadcast if they
     have at most most_broadcast bytes, as summed first, else joined by host. A null url belongs to the host ''; null html has the
     text ''; repeated rows and ids are extracted each; an empty table gives an empty result; other columns are not read.
     """
     kind = dict(pages.dtypes)[key_col]
     fixed = materialize(shared_texts(pages, url_col, html_col), "shared")
-    found = materialize(wrappers(pages, url_col, html_col), "wrappers")
     hint = lambda df, size: F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first().n or 0) <= most_broadcast else df
+    found = materialize(wrappers(pages, url_col, html_col, hint), "wrappers")
     rows = pages.select(F.col(key_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).alias("_html"), _host(url_col).alias("_host"))
     rows = rows.join(hint(fixed, F.size("_fixed") * 16 + F.length("_host")), "_host", "left").join(hint(found, F.length("_wrapper") + F.length("_host")), "_host", "left")
 

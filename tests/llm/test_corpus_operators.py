@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -757,6 +758,51 @@ def test_wrappers_in_spark(spark, tmp_path):
     assert sorted(joined) == sorted(got)
 
 
+def notice(i):
+    return f"<html><body><div>Not found {i}</div><div>{words(3, i)}</div></body></html>"
+
+
+def test_wrappers_come_from_all_pages(spark):
+    hashed = lambda pages: sorted((r["h"], r["html"]) for r in spark.createDataFrame([(p,) for p in pages], "html string").select("html", F.xxhash64("html").alias("h")).collect())
+    stories = [unmarked(i) for i in range(30)]
+    least = hashed(p for p, _ in stories)[0][0]
+    odd = [p for h, p in hashed(notice(i) for i in range(3000)) if h < least][:9]
+    assert len(odd) == 9  # any eight pages of least hashes are notices, but most pages are stories
+    rows = [(i, "http://mixed.example/", p) for i, (p, _) in enumerate(stories)] + [(100 + i, "http://mixed.example/", p) for i, p in enumerate(odd)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [got[i] for i in range(30)] == [t for _, t in stories]
+    assert [got[100 + i] for i in range(9)] == [html_extract.extract(p) for p in odd]  # of another template: nothing of theirs is lost
+
+
+def test_wrappers_of_all_hosts_equal_those_of_one(spark):
+    r = random.Random(5)
+    hosts = {f"h{k}.example": [unmarked(100 * k + i, r.random() < 0.1 * k)[0] for i in range(5 * k)] + [notice(i) for i in range(k)] for k in range(1, 7)}
+    hosts["same.example"], hosts["void.example"] = [unmarked(1)[0]] * 9, ["", " ", "<p></p>", "<b></b>", "<i></i>"]
+    rows = [(f"http://{h}/", p) for h, pages in hosts.items() for p in [*pages, pages[0], None]]
+    want = {h: spec for h, pages in hosts.items() if (spec := html_extract.infer(pages))["root"]}
+    assert sorted(want) == [f"h{k}.example" for k in range(1, 7)] and want["h6.example"]["n"] == 36
+    for n in (1, 9):
+        table = spark.createDataFrame(rows, "url string, html string").repartition(n)
+        got = {x["_host"]: json.loads(x["_wrapper"]) for x in html_extract.wrappers(table).collect()}
+        assert got == {h: {"symbols": x["symbols"], "pages": x["pages"], "n": x["n"], "root": list(x["root"])} for h, x in want.items()}
+
+
+def test_base_is_nearest_to_all_pages():
+    r = random.Random(6)
+    for _ in range(200):
+        pages = [tuple(r.choice("abcde") for _ in range(r.randrange(0, 7))) for _ in range(12)]
+        far = {s: sum(sum(abs(s.count(x) - t.count(x)) for x in "abcde") for t in pages) for s in pages if s}
+        assert far[html_extract.base_of(collections.Counter(pages))] == min(far.values())
+    assert html_extract.base_of(collections.Counter([()])) == ()
+
+
+def test_few_odd_pages_do_not_turn_the_template_into_slots():
+    foot = words(60, 4)
+    pages = [(p.replace("All rights reserved", foot), t) for p, t in map(unmarked, range(40))]
+    spec = html_extract.infer([p for p, _ in pages] + [notice(1)])
+    assert all(html_extract.extract(p, spec) == t for p, t in pages) and html_extract.extract(notice(1), spec) == html_extract.extract(notice(1))
+
+
 def test_shared_texts_go_only_where_no_root_is(spark):
     long, note = words(40, 81), "Free to copy under the licence"
     rows = [(i, "http://copies.example/", f"<div>{note}</div><article><h1>Title {i}</h1><p>{long}</p><p>{note}</p></article>") for i in range(12)]
